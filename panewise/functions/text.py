@@ -11,9 +11,20 @@ def literal_pattern(text: str) -> str:
     return "".join(c if c.isalnum() or c == "_" else "\\" + c for c in text)
 
 
+# The characters up to U+0020, which count as blanks around a line.
+BLANKS = "".join(chr(code) for code in range(0x21))
+
+
 def strip_controls(line: Column) -> Column:
     """Drop leading and trailing characters up to U+0020 (blanks, tabs, line ends)."""
-    return F.regexp_replace(line, r"\A[\x00-\x20]+|[\x00-\x20]+\z", "")
+    return F.btrim(line, F.lit(BLANKS))
+
+
+def drop_trailing(line: Column, delimiter: str) -> Column:
+    """Remove the delimiters at the end of a line, and with them its empty last fields."""
+    if len(delimiter) == 1:
+        return F.rtrim(line, F.lit(delimiter))
+    return F.regexp_replace(line, f"(?:{literal_pattern(delimiter)})+\\z", "")
 
 
 def split_fields(line: Column, delimiter: str) -> Column:
@@ -21,11 +32,11 @@ def split_fields(line: Column, delimiter: str) -> Column:
 
     A line of nothing but delimiters has no fields, an empty line has one.
     """
-    pattern = literal_pattern(delimiter)
     stripped = strip_controls(line)
-    kept = F.regexp_replace(stripped, f"(?:{pattern})+\\z", "")
+    kept = drop_trailing(stripped, delimiter)
     no_fields = (kept == "") & (stripped != "")
-    return F.when(no_fields, F.array().cast("array<string>")).otherwise(F.split(kept, pattern))
+    fields = F.split(kept, literal_pattern(delimiter))
+    return F.when(no_fields, F.array().cast("array<string>")).otherwise(fields)
 
 
 def to_int(field: Column) -> Column:
@@ -37,11 +48,11 @@ def to_double(field: Column) -> Column:
     """Double, or null. Blanks around the number are allowed.
 
     Spark also reads ``inf``/``nan`` in any case; only the spellings ``NaN`` and
-    ``Infinity`` are numbers here.
+    ``Infinity`` are numbers here. No finite number has an ``n`` in it.
     """
-    loose = field.rlike(r"(?i)\A[\x00-\x20]*[+-]?(inf|infinity|nan)[\x00-\x20]*\z")
+    finite = ~field.contains("n") & ~field.contains("N")
     exact = field.rlike(r"\A[\x00-\x20]*[+-]?(Infinity|NaN)[\x00-\x20]*\z")
-    return F.when(~loose | exact, field.try_cast("double"))
+    return F.when(finite | exact, field.try_cast("double"))
 
 
 CONVERTERS = {"int": to_int, "double": to_double, "string": lambda field: field}
@@ -51,27 +62,26 @@ CONVERTERS = {"int": to_int, "double": to_double, "string": lambda field: field}
 ADDRESS_FIELDS = (3, 5)
 
 # A dotted address of exactly five parts; empty parts count, trailing dots do not.
-_FIVE_PARTS = r"([^. ]*)\.([^. ]*)\.([^. ]*)\.([^. ]*)\.([^. ]+)\.*"
+_FIVE_PARTS = r"\A([^.]*)\.([^.]*)\.([^.]*)\.([^.]*)\.([^.]+)\.*\z"
 
 
 def split_address(field: Column) -> Column:
     """``a.b.c.d.e`` becomes ``a.b.c d.e`` (network, then host and port)."""
-    return F.regexp_replace(field, rf"\A{_FIVE_PARTS}\z", "$1.$2.$3 $4.$5")
+    return F.regexp_replace(field, _FIVE_PARTS, "$1.$2.$3 $4.$5")
 
 
-def normalise_addresses(line: Column, fields: tuple[int, ...] = ADDRESS_FIELDS) -> Column:
-    """Split the addresses of a blank-separated line in place.
+def normalise_addresses(fields: Column, positions: tuple[int, ...] = ADDRESS_FIELDS) -> Column:
+    """A blank-separated line with its addresses split, from the fields of that line.
 
-    Works from the last field to the first, as each split adds one more field.
+    A position the line does not reach is null and adds nothing.
     """
-    out = F.regexp_replace(line, r" +\z", "")
-    for position in sorted(fields, reverse=True):
-        out = F.regexp_replace(
-            out,
-            rf"\A((?:[^ ]* ){{{position}}}){_FIVE_PARTS}(?= |\z)",
-            "$1$2.$3.$4 $5.$6",
-        )
-    return out
+    pieces, done = [], 0
+    for position in sorted(positions):
+        pieces.append(F.slice(fields, done + 1, position - done))
+        pieces.append(split_address(F.get(fields, F.lit(position))))
+        done = position + 1
+    pieces.append(F.slice(fields, F.lit(done + 1), F.greatest(F.size(fields), F.lit(1))))
+    return F.concat_ws(" ", *pieces)
 
 
 def join_fields(columns: list[str], delimiter: str) -> Column:

@@ -17,6 +17,8 @@ KINDS = ("inner", "left", "right", "full")
 
 
 def _field(df: DataFrame, name: str) -> T.StructField | None:
+    if name.split(".")[-1] not in df.columns:
+        return None
     try:
         return df.select(name).schema[0]
     except AnalysisException as error:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panewise.functions.aggregates import count, total
-from panewise.functions.text import join_fields, normalise_addresses
+from panewise.functions.text import join_fields
 from panewise.operators.grouping import summarise
 from panewise.operators.sinks import write_delimited
 from panewise.plans.relational import exact_sum
 from panewise.session import shared_folder
-from panewise.sources.delimited import declare, line_counts, parse
+from panewise.sources.delimited import declare, line_counts, parse, split_addresses
 from panewise.sources.slices import dense_slice, time_slice, with_arrival_index
 from panewise.sources.tables import table
 
@@ -93,18 +93,16 @@ def address_lines(spark, sf):
 
 
 def normalise_address(spark, sf):
-    lines = address_lines(spark, sf)
-    return lines.select(normalise_addresses(F.col("value")).alias("line"))
+    return split_addresses(address_lines(spark, sf)).withColumnRenamed("value", "line")
 
 
 def normalise_and_parse(spark, sf):
     """Both addresses split: nine fields. Lines with an unsplit address are dropped."""
-    lines = address_lines(spark, sf).select(normalise_addresses(F.col("value")).alias("value"))
     schema = (
         "orderkey int, linenumber int, flag string, srcnet string, srchost string, "
         "arrow string, dstnet string, dsthost string, status string"
     )
-    return parse(lines, schema, " ").drop("arrow")
+    return parse(split_addresses(address_lines(spark, sf)), schema, " ").drop("arrow")
 
 
 def time_slices(spark, sf):

@@ -82,21 +82,31 @@ def _large(spark, sf):
     return where(_orders(spark, sf), F.col("o_totalprice"), ">", F.lit(400000.0))
 
 
+def _partners(joined):
+    """Keys as text: a row without a partner says "none" in place of the missing key."""
+    keys = [c for c in ("c_custkey", "o_orderkey") if c in joined.columns]
+    shown = [F.coalesce(F.col(c).cast("string"), F.lit("none")).alias(c) for c in keys]
+    return joined.select(*shown, *[c for c in joined.columns if c not in (*keys, "o_custkey")])
+
+
 def join_left(spark, sf):
-    return join(_customer(spark, sf), _large(spark, sf), [("c_custkey", "o_custkey")], "left")
+    customer, large = _customer(spark, sf), _large(spark, sf)
+    return _partners(join(customer, large, [("c_custkey", "o_custkey")], "left"))
 
 
 def join_right(spark, sf):
-    return join(_rich(spark, sf), _orders(spark, sf), [("c_custkey", "o_custkey")], "right")
+    rich, orders = _rich(spark, sf), _orders(spark, sf)
+    return _partners(join(rich, orders, [("c_custkey", "o_custkey")], "right"))
 
 
 def join_full(spark, sf):
-    return join(_rich(spark, sf), _large(spark, sf), [("c_custkey", "o_custkey")], "full")
+    rich, large = _rich(spark, sf), _large(spark, sf)
+    return _partners(join(rich, large, [("c_custkey", "o_custkey")], "full"))
 
 
 def join_full_even(spark, sf):
-    on = [("c_custkey", "o_custkey")]
-    return join(_rich(spark, sf), _large(spark, sf), on, "full", even_keys=True)
+    rich, large = _rich(spark, sf), _large(spark, sf)
+    return _partners(join(rich, large, [("c_custkey", "o_custkey")], "full", even_keys=True))
 
 
 def join_after_agg(spark, sf):
@@ -141,27 +151,29 @@ def windows_meet(form, left_panes, right_panes):
     return query
 
 
-def _edges(spark, sf):
-    lines = table(spark, sf, "lineitem")
+def _orders_customer(spark, sf):
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
-    return {
-        "lineitem-orders": join_selectivity(lines, orders, [("l_orderkey", "o_orderkey")]),
-        "lineitem-part": join_selectivity(
-            lines, table(spark, sf, "part"), [("l_partkey", "p_partkey")]
-        ),
-        "lineitem-supplier": join_selectivity(
-            lines, table(spark, sf, "supplier"), [("l_suppkey", "s_suppkey")]
-        ),
-        "orders-customer": join_selectivity(orders, customer, [("o_custkey", "c_custkey")]),
-    }
+    return join_selectivity(orders, customer, [("o_custkey", "c_custkey")])
+
 
+def _lineitem_with(name, left_key, right_key):
+    def edge(spark, sf):
+        lines, other = table(spark, sf, "lineitem"), table(spark, sf, name)
+        return join_selectivity(lines, other, [(left_key, right_key)])
 
-def join_selectivity_profile(spark, sf):
-    return _edges(spark, sf)["orders-customer"]
+    return edge
+
+
+EDGES = {
+    "lineitem-orders": _lineitem_with("orders", "l_orderkey", "o_orderkey"),
+    "lineitem-part": _lineitem_with("part", "l_partkey", "p_partkey"),
+    "lineitem-supplier": _lineitem_with("supplier", "l_suppkey", "s_suppkey"),
+    "orders-customer": _orders_customer,
+}
 
 
 def join_edge_ranking(spark, sf):
-    return rank_edges(_edges(spark, sf))
+    return rank_edges({name: edge(spark, sf) for name, edge in EDGES.items()})
 
 
 def cross_product_size(spark, sf):
@@ -183,7 +195,7 @@ QUERIES = {
     "window_join_panes_equal": windows_meet(pane_join, 3, 3),
     "window_join_asym": windows_meet(window_join, 24, 3),
     "window_join_panes_asym": windows_meet(pane_join, 24, 3),
-    "join_selectivity": join_selectivity_profile,
+    "join_selectivity": _orders_customer,
     "join_edge_ranking": join_edge_ranking,
     "cross_product_size": cross_product_size,
 }
@@ -193,8 +205,10 @@ _SINGLE = """
     FROM orders JOIN customer ON o_custkey = c_custkey"""
 _RICH = "(SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal > 5000)"
 _LARGE = "(SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 400000)"
+_KEYS = """coalesce(CAST(c_custkey AS VARCHAR), 'none') AS c_custkey,
+           coalesce(CAST(o_orderkey AS VARCHAR), 'none') AS o_orderkey"""
 _FULL = f"""
-    SELECT c_custkey, c_acctbal, o_orderkey, o_custkey, o_totalprice
+    SELECT {_KEYS}, c_acctbal, o_totalprice
     FROM {_RICH} FULL JOIN {_LARGE} ON c_custkey = o_custkey"""
 
 
@@ -252,10 +266,10 @@ SQL = {
               FROM orders WHERE o_orderstatus = 'O' GROUP BY o_custkey) AS p
         USING (o_custkey)""",
     "join_left": f"""
-        SELECT c_custkey, c_name, c_mktsegment, o_orderkey, o_custkey, o_totalprice
+        SELECT {_KEYS}, c_name, c_mktsegment, o_totalprice
         FROM customer LEFT JOIN {_LARGE} ON c_custkey = o_custkey""",
     "join_right": f"""
-        SELECT c_custkey, c_acctbal, o_orderkey, o_custkey, o_totalprice
+        SELECT {_KEYS}, c_acctbal, o_totalprice
         FROM {_RICH} RIGHT JOIN orders ON c_custkey = o_custkey""",
     "join_full": _FULL,
     "join_full_even": _FULL,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewise.functions.text import CONVERTERS, split_fields
+from panewise.functions.text import CONVERTERS, drop_trailing, normalise_addresses, split_fields
 from panewise.sources.tables import named
 
 _PARTS, _RECORD, _OK = "__parts", "__record", "__ok"
@@ -68,6 +68,12 @@ def line_counts(
     )
 
 
+def split_addresses(lines: DataFrame, value: str = "value") -> DataFrame:
+    """Blank-separated lines whose address fields become two fields each."""
+    fields = lines.withColumn(_PARTS, F.split(drop_trailing(F.col(value), " "), " "))
+    return fields.withColumn(value, normalise_addresses(F.col(_PARTS))).drop(_PARTS)
+
+
 def declare(
     spark: SparkSession, name: str, schema: str, path: str, delimiter: str
 ) -> DataFrame:

@@ -19,7 +19,7 @@ def time_slice(ts: str, seconds: int) -> Column:
 
 def dense_slice(index: str, per_slice: int) -> Column:
     """Slices of ``per_slice`` records by a column that numbers the records 0, 1, 2, …"""
-    return F.floor(F.col(index) / F.lit(per_slice)).cast("bigint")
+    return F.expr(f"`{index}` div {int(per_slice)}")
 
 
 def with_arrival_index(df: DataFrame, name: str = "arrival") -> DataFrame:
