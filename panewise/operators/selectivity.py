@@ -31,15 +31,20 @@ def join_selectivity(left: DataFrame, right: DataFrame, on: list[tuple[str, str]
         tagged(right, [b for _, b in pairs], none, one)
     )
     counts = both.groupBy(*keys).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    return totals(counts, keys)
+
+
+def totals(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """The profile from the rows ``l`` and ``r`` per key; null keys join nothing."""
     matched = reduce(lambda x, y: x & y, (F.col(k).isNotNull() for k in keys), F.lit(True))
     product = F.col("l").cast(_COUNT) * F.col("r").cast(_COUNT)
-    totals = counts.agg(
+    sums = counts.agg(
         F.sum("l").alias("left_rows"),
         F.sum("r").alias("right_rows"),
         F.sum(F.when(matched, product).otherwise(0)).cast("double").alias("joined_rows"),
     )
     possible = F.col("left_rows").cast("double") * F.col("right_rows").cast("double")
-    return totals.where((F.col("left_rows") > 0) & (F.col("right_rows") > 0)).withColumn(
+    return sums.where((F.col("left_rows") > 0) & (F.col("right_rows") > 0)).withColumn(
         "selectivity", F.col("joined_rows") / possible
     )
 
