@@ -61,8 +61,8 @@ def join(
     Adaptive execution splits a hot key of either side of an inner join, but only of
     the preserved side of a left or right join and of no side of a full join. So an
     outer join is put together from an inner join and the rows without a partner,
-    found by an anti join against the distinct keys of the other side. Both see the
-    same shuffle of the preserved side. ``even_keys=True`` asks for Spark's own outer
+    found by an anti join against the distinct keys of the other side. Both can use
+    one shuffle of the preserved side. ``even_keys=True`` asks for Spark's own outer
     join, which is cheaper when no key of the other side is hot. Outer joins need
     column names that differ between the sides.
     """
@@ -92,7 +92,13 @@ def join(
 def _unmatched(
     df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]
 ) -> DataFrame:
-    """Rows of ``df`` without a partner. The distinct keys are combined map-side."""
+    """Rows of ``df`` without a partner. The distinct keys are combined map-side.
+
+    Rows with a null key have no partner and skip the shuffle; the others meet it with
+    the same filter the inner join puts on them, so that its exchange can be reused.
+    """
     keys = other.select(*[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)])
     matches = [(a, f"__k{i}") for i, (a, _) in enumerate(pairs)]
-    return df.join(keys.distinct(), equal(matches), "left_anti")
+    known = reduce(lambda x, y: x & y, (F.col(a).isNotNull() for a, _ in pairs))
+    alone = df.where(known).join(keys.distinct(), equal(matches), "left_anti")
+    return alone.unionByName(df.where(~known))

@@ -12,13 +12,15 @@ from panewise.functions.aggregates import count, highest, total
 from panewise.functions.event_time import from_instant
 from panewise.operators.filters import where
 from panewise.operators.sinks import delimited_lines, write_delimited
-from panewise.plans.inputs import damaged_lines, LINE_SCHEMA, SQL as INPUT_SQL
+from panewise.plans.inputs import LINE_SCHEMA, damaged_lines
+from panewise.plans.inputs import SQL as INPUT_SQL
+from panewise.plans.joins import SQL as JOIN_SQL
 from panewise.plans.relational import exact_sum
 from panewise.plans.windows import windowed
 from panewise.session import shared_folder
 from panewise.sources.delimited import declare_stream
 from panewise.sources.tables import stream_table, table
-from panewise.streaming.queries import stream_join, stream_window_aggregate
+from panewise.streaming.queries import stream_join, stream_window_aggregate, stream_window_join
 from panewise.streaming.sinks import (
     append_parquet,
     latest,
@@ -64,8 +66,7 @@ def stream_batch_count(spark, sf):
     return latest(spark, f"{path}/rows", ["window_start", "window_end"])
 
 
-def stream_pairs(spark, sf):
-    """Purchases within ten hours of a click of the same user, from two streams."""
+def _clicks_and_purchases(spark, sf):
     events = stream_table(spark, sf, "events")
     clicks = where(events, F.col("event_type"), "=", F.lit("click")).select(
         "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts")
@@ -76,12 +77,13 @@ def stream_pairs(spark, sf):
         F.col("event_id").alias("purchase_id"),
         F.col("ts").alias("purchase_ts"),
     )
+    return clicks, purchases, [("user_id", "buyer_id")], "click_ts", "purchase_ts"
+
+
+def stream_pairs(spark, sf):
+    """Purchases within ten hours of a click of the same user, from two streams."""
     pairs = stream_join(
-        clicks,
-        purchases,
-        [("user_id", "buyer_id")],
-        "click_ts",
-        "purchase_ts",
+        *_clicks_and_purchases(spark, sf),
         before=10 * HOUR,
         after=10 * HOUR,
         delay=HOUR,
@@ -99,6 +101,23 @@ def stream_pairs(spark, sf):
     )
 
 
+def stream_windows_meet(spark, sf):
+    """Clicks of the last 24 panes joined with purchases of the last 3, pane by pane."""
+    pairs = stream_window_join(
+        *_clicks_and_purchases(spark, sf),
+        pane=HOUR,
+        left_panes=24,
+        right_panes=3,
+        delay=HOUR,
+        right_id="purchase_id",
+        splits=4,
+    )
+    path = shared_folder(spark, "windows-meet")
+    append_parquet(pairs, f"{path}/rows", f"{path}/checkpoint")
+    rows = spark.read.parquet(f"{path}/rows")
+    return rows.select("last_pane", "user_id", "click_id", "purchase_id")
+
+
 def stream_parse(spark, sf):
     """Delimited text files arriving in a folder, parsed as they arrive."""
     path = shared_folder(spark, "lines")
@@ -141,6 +160,7 @@ QUERIES = {
     "stream_window_closed": stream_window_closed,
     "stream_batch_count": stream_batch_count,
     "stream_join": stream_pairs,
+    "stream_window_join": stream_windows_meet,
     "stream_parse": stream_parse,
     "stream_several_outputs": stream_several_outputs,
     "stream_progress": stream_progress,
@@ -168,6 +188,7 @@ SQL = {
         FROM events AS c JOIN events AS p ON c.user_id = p.user_id
          AND p.ts BETWEEN c.ts - INTERVAL 10 HOUR AND c.ts + INTERVAL 10 HOUR
         WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
+    "stream_window_join": JOIN_SQL["window_join_asym"],
     "stream_parse": INPUT_SQL["parse_delimited"],
     "stream_several_outputs": """
         SELECT 'clicks' AS output, event_id, event_type, value

@@ -16,6 +16,8 @@ CLUSTER_SETTINGS = {
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "256m",
     "spark.sql.session.timeZone": "UTC",
+    # A stream over several inputs advances with the slowest of them.
+    "spark.sql.streaming.multipleWatermarkPolicy": "min",
     # Stream state lives off-heap and is checkpointed as a changelog.
     "spark.sql.streaming.stateStore.providerClass": (
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"

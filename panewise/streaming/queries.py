@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panewise.functions.aggregates import Aggregate, check_types, one_step
 from panewise.functions.event_time import duration, from_instant, to_instant
+from panewise.operators.joins import equal, oriented
 
 
 def with_watermark(df: DataFrame, ts: str, delay: int) -> DataFrame:
@@ -64,11 +63,19 @@ def stream_join(
     spreads the right rows of a key further, by a hash of their ``right_id``; each left
     row goes to every split. Pass the smaller stream as ``left``.
     """
+    shared = set(left.columns) & set(right.columns)
+    if shared:
+        raise ValueError(f"rename the columns of one side first: {sorted(shared)}")
+    if not on:
+        raise ValueError("a join needs at least one pair of columns")
+    if before < 0 or after < 0 or before + after == 0 or splits < 1:
+        raise ValueError("before, after and splits must span something")
+    keys = equal([oriented(left, right, pair) for pair in on])
     block = before + after
     lefts = with_watermark(left, left_ts, delay)
     rights = with_watermark(right, right_ts, delay)
 
-    def block_of(seconds):
+    def block_of(seconds: Column) -> Column:
         return F.floor(seconds / F.lit(block)).cast("bigint")
 
     first = block_of(F.unix_seconds(left_ts) - before)
@@ -78,16 +85,59 @@ def stream_join(
     rights = rights.withColumn("__own", block_of(F.unix_seconds(right_ts))).withColumn(
         "__part", F.pmod(F.xxhash64(right_id), F.lit(splits)).cast("int")
     )
-    equal = reduce(lambda x, y: x & y, (F.col(a) == F.col(b) for a, b in on))
     near = (
         f"`{right_ts}` >= `{left_ts}` - INTERVAL '{int(before)}' SECOND AND "
         f"`{right_ts}` <= `{left_ts}` + INTERVAL '{int(after)}' SECOND"
     )
     joined = lefts.join(
         rights,
-        equal
+        keys
         & (F.col("__block") == F.col("__own"))
         & (F.col("__split") == F.col("__part"))
         & F.expr(near),
     )
     return joined.drop("__block", "__own", "__split", "__part")
+
+
+def stream_window_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[tuple[str, str]],
+    left_ts: str,
+    right_ts: str,
+    pane: int,
+    left_panes: int,
+    right_panes: int,
+    delay: int,
+    right_id: str,
+    splits: int = 1,
+) -> DataFrame:
+    """Two windowed streams joined: the streaming twin of the batch pane join.
+
+    A pair is found once, as soon as both rows are there, and then reported for every
+    pane at whose end both are kept; ``last_pane`` is the start of that pane.
+    """
+    if min(left_panes, right_panes) < 1:
+        raise ValueError("a window holds at least one pane")
+    # Rows in panes near enough are never further apart than these times.
+    pairs = stream_join(
+        left, right, on, left_ts, right_ts, right_panes * pane, left_panes * pane,
+        delay, right_id, splits,
+    )
+
+    def pane_of(ts: str) -> Column:
+        return F.floor(F.unix_seconds(ts) / F.lit(pane)).cast("bigint")
+
+    lefts, rights = F.col("__left_pane"), F.col("__right_pane")
+    near = pairs.withColumns(
+        {"__left_pane": pane_of(left_ts), "__right_pane": pane_of(right_ts)}
+    ).where(rights.between(lefts - (right_panes - 1), lefts + (left_panes - 1)))
+    ends = F.sequence(
+        F.greatest(lefts, rights), F.least(lefts + (left_panes - 1), rights + (right_panes - 1))
+    )
+    last = F.timestamp_seconds(F.col("__last") * F.lit(pane))
+    return (
+        near.withColumn("__last", F.explode(ends))
+        .withColumn("last_pane", last)
+        .select(from_instant("last_pane").alias("last_pane"), *left.columns, *right.columns)
+    )
