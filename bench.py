@@ -42,6 +42,7 @@ HEADLINE = (
     "count_slices_arrival",
     "stream_window_agg",
     "stream_join",
+    "stream_window_join",
 )
 RUNS = 3
 
