@@ -62,8 +62,9 @@ def count(column: str) -> Aggregate:
 
 def check_types(df: DataFrame, aggregates: dict[str, Aggregate]) -> None:
     """Every aggregate but ``count`` needs a number."""
+    fields = {field.name: field.dataType for field in df.schema}
     for name, item in aggregates.items():
-        dtype = df.select(item.column).schema[0].dataType
+        dtype = fields.get(item.column) or df.select(item.column).schema[0].dataType
         if item.function != "count" and not isinstance(dtype, T.NumericType):
             raise TypeError(
                 f"{name}: {item.function} of {item.column} needs a number, "

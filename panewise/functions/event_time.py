@@ -40,6 +40,11 @@ def with_pane(df: DataFrame, ts: str, width: int, name: str) -> DataFrame:
     return panes.withColumn(name, F.floor(seconds / F.lit(width)).cast("bigint"))
 
 
+def block_start(pane: Column, width: int) -> Column:
+    """The first pane of the block of ``width`` panes that holds ``pane``."""
+    return pane - F.pmod(pane, F.lit(width))
+
+
 def pane_start(df: DataFrame, ts: str, pane: str, width: int) -> Column:
     """The first instant of a pane, in the type of ``df[ts]``."""
     if _is_ntz(df, ts):

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panewise.functions.event_time import pane_start, with_pane
+from panewise.functions.event_time import block_start, pane_start, with_pane
 from panewise.operators.joins import equal, oriented
 
 _L, _R = "__left_pane", "__right_pane"
@@ -82,15 +82,11 @@ def pane_join(
     """
     lefts, rights = _prepare(left, right, left_ts, right_ts, pane, left_panes, right_panes)
     block = left_panes + right_panes - 1
-
-    def block_of(position: Column) -> Column:
-        return position - F.pmod(position, F.lit(block))
-
     first, last = F.col(_L) - (right_panes - 1), F.col(_L) + (left_panes - 1)
-    blocks = F.array_distinct(F.array(block_of(first), block_of(last)))
+    blocks = F.array_distinct(F.array(block_start(first, block), block_start(last, block)))
     near = F.col(_R).between(first, last)
     joined = lefts.withColumn("__block", F.explode(blocks)).join(
-        rights.withColumn("__own", block_of(F.col(_R))),
+        rights.withColumn("__own", block_start(F.col(_R), block)),
         _equal(left, right, on) & (F.col("__block") == F.col("__own")) & near,
     )
     ends = F.sequence(

@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panewise.functions.aggregates import Aggregate, check_types, merge, one_step, partial
-from panewise.functions.event_time import duration
+from panewise.functions.event_time import block_start, duration, pane_start, with_pane
 
 BOUNDS = ["window_start", "window_end"]
 
+# Window lengths per block: a partial is copied 1 + 1/BLOCK_WINDOWS times on average.
+BLOCK_WINDOWS = 4
+
 
 def _with_bounds(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c != "__w"]
@@ -55,18 +58,33 @@ def pane_aggregate(
 ) -> DataFrame:
     """The same result as :func:`window_aggregate`, from one partial per pane and key.
 
-    Rows are combined once, into panes of ``slide`` seconds; only those partials are
-    copied to the windows they belong to and merged. The second shuffle carries
-    partials, so its size depends on panes and keys and not on the number of rows.
+    Rows are combined once, into panes of ``slide`` seconds. Windows are cut into blocks
+    of consecutive starts, and each partial goes to the one or two blocks its windows lie
+    in; there it is copied to those windows and merged without another shuffle. So what
+    is shuffled depends neither on the number of rows nor on the length of a window, and
+    a block of one key holds at most a few windows' worth of partials, however hot it is.
     """
     if size % slide:
         raise ValueError(f"a window of {size} s is not made of whole panes of {slide} s")
+    if size == slide:
+        return window_aggregate(df, ts, size, slide, keys, aggregates)
     check_types(df, aggregates)
-    panes = df.groupBy(F.window(ts, duration(slide)).alias("__p"), *keys).agg(*partial(aggregates))
-    step = f"INTERVAL '{int(slide)}' SECOND"
-    back = f"INTERVAL '{int(size - slide)}' SECOND"
-    starts = F.expr(f"sequence(__p.start - {back}, __p.start, {step})")
-    copies = panes.withColumn("window_start", F.explode(starts)).drop("__p")
-    merged = copies.groupBy("window_start", *keys).agg(*merge(aggregates))
+    panes_per_window = size // slide
+    block = BLOCK_WINDOWS * panes_per_window
+
+    panes = with_pane(df, ts, slide, "__pane").groupBy("__pane", *keys).agg(*partial(aggregates))
+    last = F.col("__pane")
+    first = last - (panes_per_window - 1)
+    blocks = F.array_distinct(F.array(block_start(first, block), block_start(last, block)))
+    placed = panes.withColumn("__block", F.explode(blocks)).repartition("__block", *keys)
+    starts = F.sequence(
+        F.greatest(first, F.col("__block")), F.least(last, F.col("__block") + (block - 1))
+    )
+    merged = (
+        placed.withColumn("__first", F.explode(starts))
+        .groupBy("__block", "__first", *keys)
+        .agg(*merge(aggregates))
+    )
+    start = pane_start(df, ts, "__first", slide).alias("window_start")
     end = F.expr(f"window_start + INTERVAL '{int(size)}' SECOND").alias("window_end")
-    return merged.select("window_start", end, *keys, *aggregates)
+    return merged.select(start, *keys, *aggregates).select("window_start", end, *keys, *aggregates)

@@ -117,13 +117,25 @@ def test_rows_of_a_window_are_a_projection(spark, sf):
 
 
 def test_panes_copy_partials_not_rows(spark, sf):
-    """The expansion to windows comes after the first aggregation."""
+    """Partials are placed by key and block, and copied to windows only after that."""
     text = plan(window_plans.QUERIES["window_agg_panes"](spark, sf))
-    generate = text.index("Generate explode")
-    assert text.index("HashAggregate", generate) > generate
+    assert text.count("Exchange") == 2
+    placed = text.index("Exchange hashpartitioning(__block")
+    assert text.index("explode(sequence(") < placed < text.index("Exchange hashpartitioning(__pane")
     assert "Expand" not in text
 
 
+def test_long_windows_cross_blocks(spark):
+    """One key, windows of 50 panes, rows far apart and close together."""
+    data = [(at(10 * p), "x", p) for p in (*range(0, 400, 7), *range(390, 420), 5000)]
+    df = series(spark, data)
+    want = rows(window_aggregate(df, "ts", 500, 10, ["k"], ALL))
+    assert rows(pane_aggregate(df, "ts", 500, 10, ["k"], ALL)) == want
+    assert rows(pane_aggregate(df, "ts", 500, 10, [], ALL)) == rows(
+        window_aggregate(df, "ts", 500, 10, [], ALL)
+    )
+
+
 # --- window joins -----------------------------------------------------------------
 
 
