@@ -50,55 +50,66 @@ def join(
     right: DataFrame,
     on: list[tuple[str, str]],
     how: str = "inner",
-    even_keys: bool = False,
+    split_hot: bool | None = None,
 ) -> DataFrame:
     """Join on one or more equal columns, keeping the columns of both sides.
 
     ``on`` holds pairs such as ``("orders.o_custkey", "customer.c_custkey")`` in either
     order; both columns must have the same type. An empty list would mean a cross
-    product and is refused.
-
-    Adaptive execution splits a hot key of either side of an inner join, but only of
-    the preserved side of a left or right join and of no side of a full join. So an
-    outer join is put together from an inner join and the rows without a partner,
-    found by an anti join against the distinct keys of the other side. Both can use
-    one shuffle of the preserved side. ``even_keys=True`` asks for Spark's own outer
-    join, which is cheaper when no key of the other side is hot. Outer joins need
-    column names that differ between the sides.
+    product and is refused. Outer joins need column names that differ between the sides.
+
+    Adaptive execution splits the partition of a hot key, within two limits. Both sides
+    must be shuffled for the join itself, which is not so for a side that is already
+    grouped by the keys. And it splits either side of an inner join, but only the
+    preserved side of a left or right join and no side of a full join.
+
+    ``split_hot=True`` lifts both. A hash of the keys joins the equality, so that each
+    side is shuffled for the join. An outer join becomes an inner join plus the rows
+    without a partner, found by an anti join against the distinct keys of the other side;
+    the preserved side is shuffled once for both. This is the default for outer joins.
+    ``split_hot=False`` asks for Spark's plain join, the default for inner joins: right
+    for an inner join of ungrouped inputs, and cheaper wherever no key is hot.
     """
     if how not in KINDS:
         raise ValueError(f"unknown join {how}: use one of {KINDS}")
     if not on:
         raise ValueError("a join needs at least one pair of columns")
     pairs = [oriented(left, right, pair) for pair in on]
-    if how == "inner":
-        return left.join(right, equal(pairs), "inner")
-
     shared = set(left.columns) & set(right.columns)
-    if shared:
+    if how != "inner" and shared:
         raise ValueError(f"rename the columns of one side first: {sorted(shared)}")
-    if even_keys:
+    if not (how != "inner" if split_hot is None else split_hot):
         return left.join(right, equal(pairs), how)
 
-    out = left.join(right, equal(pairs), "inner")
+    lefts = _with_hash(left, [a for a, _ in pairs], "__left_hash")
+    rights = _with_hash(right, [b for _, b in pairs], "__right_hash")
+    hashes = ("__left_hash", "__right_hash")
+    out = lefts.join(rights, equal([*pairs, hashes]), "inner")
     if how in ("left", "full"):
-        out = out.unionByName(_unmatched(left, right, pairs), allowMissingColumns=True)
+        alone = _unmatched(lefts, right, pairs, hashes[0])
+        out = out.unionByName(alone, allowMissingColumns=True)
     if how in ("right", "full"):
-        flipped = [(b, a) for a, b in pairs]
-        out = out.unionByName(_unmatched(right, left, flipped), allowMissingColumns=True)
-    return out
+        alone = _unmatched(rights, left, [(b, a) for a, b in pairs], hashes[1])
+        out = out.unionByName(alone, allowMissingColumns=True)
+    return out.drop(*hashes)
+
+
+def _with_hash(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    return df.withColumn(name, F.xxhash64(*keys))
 
 
 def _unmatched(
-    df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]]
+    df: DataFrame, other: DataFrame, pairs: list[tuple[str, str]], hashed: str
 ) -> DataFrame:
     """Rows of ``df`` without a partner. The distinct keys are combined map-side.
 
     Rows with a null key have no partner and skip the shuffle; the others meet it with
-    the same filter the inner join puts on them, so that its exchange can be reused.
+    the same filter the inner join puts on them, so that its exchange is reused.
     """
-    keys = other.select(*[F.col(b).alias(f"__k{i}") for i, (_, b) in enumerate(pairs)])
-    matches = [(a, f"__k{i}") for i, (a, _) in enumerate(pairs)]
+    names = [f"__k{i}" for i in range(len(pairs))]
+    keys = other.select(*[F.col(b).alias(k) for k, (_, b) in zip(names, pairs)]).distinct()
+    matches = [*((a, k) for k, (a, _) in zip(names, pairs)), (hashed, "__key_hash")]
     known = reduce(lambda x, y: x & y, (F.col(a).isNotNull() for a, _ in pairs))
-    alone = df.where(known).join(keys.distinct(), equal(matches), "left_anti")
+    keys = _with_hash(keys, names, "__key_hash")
+    alone = df.where(known).join(keys, equal(matches), "left_anti")
     return alone.unionByName(df.where(~known))

@@ -41,6 +41,7 @@ def join_multi_key(spark, sf):
         events.alias("e"),
         totals.alias("t"),
         [("e.user_id", "t.user_id"), ("e.event_type", "t.event_type")],
+        split_hot=True,
     )
     return both.select("event_id", "e.user_id", "e.event_type", "value", "spent")
 
@@ -104,9 +105,9 @@ def join_full(spark, sf):
     return _partners(join(rich, large, [("c_custkey", "o_custkey")], "full"))
 
 
-def join_full_even(spark, sf):
+def join_full_plain(spark, sf):
     rich, large = _rich(spark, sf), _large(spark, sf)
-    return _partners(join(rich, large, [("c_custkey", "o_custkey")], "full", even_keys=True))
+    return _partners(join(rich, large, [("c_custkey", "o_custkey")], "full", split_hot=False))
 
 
 def join_after_agg(spark, sf):
@@ -189,7 +190,7 @@ QUERIES = {
     "join_left": join_left,
     "join_right": join_right,
     "join_full": join_full,
-    "join_full_even": join_full_even,
+    "join_full_plain": join_full_plain,
     "join_after_agg": join_after_agg,
     "window_join_equal": windows_meet(window_join, 3, 3),
     "window_join_panes_equal": windows_meet(pane_join, 3, 3),
@@ -272,7 +273,7 @@ SQL = {
         SELECT {_KEYS}, c_acctbal, o_totalprice
         FROM {_RICH} RIGHT JOIN orders ON c_custkey = o_custkey""",
     "join_full": _FULL,
-    "join_full_even": _FULL,
+    "join_full_plain": _FULL,
     "join_after_agg": f"""
         SELECT c_custkey, c_name, n, spent FROM customer JOIN (
             SELECT o_custkey, count(*) AS n, {exact_sum('o_totalprice')} AS spent

@@ -26,10 +26,23 @@ def test_same_as_spark(left, right, how):
     want = rows(left.join(right, F.col("lk") == F.col("rk"), how))
     assert rows(join(left, right, [("lk", "rk")], how)) == want
     assert rows(join(left, right, [("rk", "lk")], how)) == want
-    assert rows(join(left, right, [("lk", "rk")], how, even_keys=True)) == want
+    for split_hot in (True, False):
+        assert rows(join(left, right, [("lk", "rk")], how, split_hot)) == want
     assert join(left, right, [("lk", "rk")], how).columns == ["lk", "l", "rk", "r"]
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_odd_doubles_and_strings(spark, how):
+    """The hash of the keys never separates keys that are equal."""
+    nan = float("nan")
+    values = [(0.0, "é"), (-0.0, "é"), (nan, ""), (-nan, ""), (1.5, "e\u0301"), (None, "x")]
+    left = spark.createDataFrame(values, "a double, s string")
+    right = spark.createDataFrame(values, "b double, t string")
+    for on in ([("a", "b")], [("s", "t")], [("a", "b"), ("s", "t")]):
+        want = rows(join(left, right, on, how, split_hot=False))
+        assert repr(rows(join(left, right, on, how, split_hot=True))) == repr(want)
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
 def test_two_keys(spark, how):
     a = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "p int, q int, a string")
@@ -75,10 +88,8 @@ def test_no_cross_join(spark, sf, name):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
-@pytest.mark.parametrize("hot_side", ["left", "right"])
-def test_hot_key_is_split(spark, conf, how, hot_side):
-    """A third of the rows of one side share a key; no kind of join keeps them in one task."""
+@pytest.fixture
+def small_partitions_are_large(conf):
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     conf("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -86,19 +97,54 @@ def test_hot_key_is_split(spark, conf, how, hot_side):
     conf("spark.sql.adaptive.advisoryPartitionSizeInBytes", "40KB")
     conf("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "1.5")
 
-    def side(prefix, n, hot):
-        key = F.when(F.lit(hot) & (F.col("id") % 3 == 0), 7).otherwise(F.col("id") % 997)
-        return spark.range(0, n, 1, 8).select(
-            key.alias(f"{prefix}k"), F.col("id").alias(f"{prefix}id")
-        )
 
-    left = side("l", 60_000 if hot_side == "left" else 990, hot_side == "left")
-    right = side("r", 60_000 if hot_side == "right" else 990, hot_side == "right")
+def hot_side_of(spark, prefix, hot):
+    """A third of 60,000 rows share a key, or 990 rows with a key each."""
+    n = 60_000 if hot else 990
+    key = F.when(F.lit(hot) & (F.col("id") % 3 == 0), 7).otherwise(F.col("id") % 997)
+    return spark.range(0, n, 1, 8).select(key.alias(f"{prefix}k"), F.col("id").alias(f"{prefix}id"))
+
+
+def joins_in(text):
+    """The join lines of the final plan."""
+    final = text[: text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    return [line.strip() for line in final.splitlines() if "SortMergeJoin" in line]
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+@pytest.mark.parametrize("hot", ["left", "right"])
+def test_hot_key_is_split(spark, small_partitions_are_large, how, hot):
+    """Whichever side is hot, every join that meets its rows splits them."""
+    left = hot_side_of(spark, "l", hot == "left")
+    right = hot_side_of(spark, "r", hot == "right")
     joined = join(left, right, [("lk", "rk")], how)
-    want = left.join(right, F.col("lk") == F.col("rk"), how)
+    plain = join(left, right, [("lk", "rk")], how, split_hot=False)
     ids = F.xxhash64("lk", "lid", "rk", "rid").cast("decimal(38,0)")
-    assert joined.agg(F.count("*"), F.sum(ids)).collect() == want.agg(F.count("*"), F.sum(ids)).collect()
+    sums = [F.count("*"), F.sum(ids)]
+    assert joined.agg(*sums).collect() == plain.agg(*sums).collect()
+    text = final_plan(joined)
+    side = {"left": "[lk", "right": "[rk"}[hot]
+    for line in joins_in(text):
+        if "LeftAnti" not in line or side in line.split("],")[0]:
+            assert "skew=true" in line, line
+    assert any("skew=true" in line for line in joins_in(text))
+
+
+def test_outer_joins_shuffle_the_preserved_side_once(spark, small_partitions_are_large):
+    left, right = hot_side_of(spark, "l", True), hot_side_of(spark, "r", False)
+    assert "ReusedExchange" in final_plan(join(left, right, [("lk", "rk")], "left"))
+    assert final_plan(join(left, right, [("lk", "rk")], "full")).count("ReusedExchange") >= 2
+
+
+def test_hot_rows_meet_their_own_totals(spark, small_partitions_are_large):
+    """A side grouped by the join keys is shuffled again, or the hot rows stay together."""
+    left = hot_side_of(spark, "l", True)
+    totals = left.groupBy(F.col("lk").alias("tk")).agg(F.count("*").alias("n"))
+    assert "skew=true" not in final_plan(join(left, totals, [("lk", "tk")]))
+    joined = join(left, totals, [("lk", "tk")], split_hot=True)
     assert "skew=true" in final_plan(joined)
+    assert joined.columns == ["lk", "lid", "tk", "n"]
+    assert joined.count() == 60_000
 
 
 def test_largest_table_is_shuffled_once(spark, sf, conf):

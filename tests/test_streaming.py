@@ -243,3 +243,18 @@ def test_mean_after_warm_up(spark):
 def test_shared_folder(spark):
     a, b = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert a != b and a.startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+class FakeSession:
+    """A session without the setting; only the two lookups are made."""
+
+    def __init__(self, master):
+        self.master, self.applicationId = master, "app-1"
+        self.sparkContext, self.conf = self, {}
+
+
+def test_shared_folder_without_the_setting():
+    local = FakeSession("local[2]")
+    assert shared_folder(local, "x").rsplit("/", 2)[0] == shared_folder(local, "y").rsplit("/", 2)[0]
+    with pytest.raises(RuntimeError):
+        shared_folder(FakeSession("spark://host:7077"), "x")
