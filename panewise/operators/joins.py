@@ -17,7 +17,10 @@ KINDS = ("inner", "left", "right", "full")
 
 
 def _field(df: DataFrame, name: str) -> T.StructField | None:
-    if name.split(".")[-1] not in df.columns:
+    names = df.columns
+    if names.count(name) == 1:
+        return df.schema[name]
+    if name.split(".")[-1] not in names:
         return None
     try:
         return df.select(name).schema[0]

@@ -17,6 +17,7 @@ BOUNDS = ["window_start", "window_end"]
 
 # Window lengths per block: a partial is copied 1 + 1/BLOCK_WINDOWS times on average.
 BLOCK_WINDOWS = 4
+MANY_PANES = 8
 
 
 def _with_bounds(df: DataFrame) -> DataFrame:
@@ -76,7 +77,14 @@ def pane_aggregate(
     last = F.col("__pane")
     first = last - (panes_per_window - 1)
     blocks = F.array_distinct(F.array(block_start(first, block), block_start(last, block)))
-    placed = panes.withColumn("__block", F.explode(blocks)).repartition("__block", *keys)
+    copies = panes.withColumn("__block", F.explode(blocks))
+    if panes_per_window < MANY_PANES:
+        placed = copies.repartition("__block", *keys)
+    else:
+        # Adaptive execution would size partitions by what comes in, before each partial
+        # is copied to its many windows. A fixed number is left as it is.
+        number = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        placed = copies.repartition(number, "__block", *keys)
     starts = F.sequence(
         F.greatest(first, F.col("__block")), F.least(last, F.col("__block") + (block - 1))
     )

@@ -157,24 +157,20 @@ def _orders_customer(spark, sf):
     return join_selectivity(orders, customer, [("o_custkey", "c_custkey")])
 
 
-def _lineitem_with(name, left_key, right_key):
-    def edge(spark, sf):
-        lines, other = table(spark, sf, "lineitem"), table(spark, sf, name)
-        return join_selectivity(lines, other, [(left_key, right_key)])
-
-    return edge
-
-
-EDGES = {
-    "lineitem-orders": _lineitem_with("orders", "l_orderkey", "o_orderkey"),
-    "lineitem-part": _lineitem_with("part", "l_partkey", "p_partkey"),
-    "lineitem-supplier": _lineitem_with("supplier", "l_suppkey", "s_suppkey"),
-    "orders-customer": _orders_customer,
-}
-
-
 def join_edge_ranking(spark, sf):
-    return rank_edges({name: edge(spark, sf) for name, edge in EDGES.items()})
+    names = ("lineitem", "orders", "part", "supplier", "customer")
+    tables = {name: table(spark, sf, name) for name in names}
+    edges = {
+        "lineitem-orders": ("l_orderkey", "o_orderkey"),
+        "lineitem-part": ("l_partkey", "p_partkey"),
+        "lineitem-supplier": ("l_suppkey", "s_suppkey"),
+        "orders-customer": ("o_custkey", "c_custkey"),
+    }
+    profiles = {}
+    for edge, columns in edges.items():
+        left, right = edge.split("-")
+        profiles[edge] = join_selectivity(tables[left], tables[right], [columns])
+    return rank_edges(profiles)
 
 
 def cross_product_size(spark, sf):
