@@ -34,7 +34,7 @@ def grams(tokens: np.ndarray, size: int) -> np.ndarray:
         if not left:
             break
         h = h[:-width] * power + h[width:] if len(h) > width else h[:0]
-        width, power = 2 * width, power * power
+        width, power = 2 * width, np.uint64(int(power) ** 2 & 0xFFFFFFFFFFFFFFFF)
     n = max(0, len(tokens) - size + 1)
     out, at = np.zeros(n, np.uint64), 0
     for h, width, power in parts:

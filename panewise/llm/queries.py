@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewise.llm import bitslice, mixing, neighbours
+from panewise.llm import bitslice, mixing, neighbours, substrings, suffixes
 from panewise.sources.tables import table
 
 
@@ -14,6 +14,11 @@ def every(df: DataFrame, id_column: str, step: int) -> DataFrame:
     return df.where(F.pmod(F.col(id_column), F.lit(step)) == 0)
 
 
+def op4_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.drop_repeats(table(spark, sf_dir, "documents"), words=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return bitslice.top_k(rows, every(rows, "vec_id", 50), k=5, scale=256)
@@ -29,6 +34,62 @@ def op9_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(rows, every(rows, "vec_id", 20), k=20)
 
 
+def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixes.drop_repeated_bytes(table(spark, sf_dir, "documents"), depth=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL_OP4 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM words WHERE len(w) >= 13
+), hashed AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS h FROM windows
+), firsts AS (
+  SELECT h, min(doc_id) AS first_doc FROM hashed GROUP BY h HAVING count(DISTINCT doc_id) > 1
+), repeats AS (
+  SELECT doc_id, list(i ORDER BY i) AS found FROM hashed JOIN firsts USING (h)
+  WHERE doc_id > first_doc GROUP BY doc_id
+), places AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS place FROM (SELECT doc_id, unnest(found) AS i FROM repeats)
+), each AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS place, unnest(w) AS word FROM words WHERE len(w) > 0
+), stays AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept, count(*) AS n
+  FROM each ANTI JOIN places USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM words LEFT JOIN stays USING (doc_id)
+"""
+
+SQL_OP10 = r"""
+WITH texts AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), strings AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM texts WHERE n >= 50)
+), firsts AS (
+  SELECT s, min(doc_id) AS first_doc FROM strings GROUP BY s HAVING min(doc_id) < max(doc_id)
+), places AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS place FROM strings JOIN firsts USING (s) WHERE doc_id > first_doc
+), runs AS (
+  SELECT doc_id, place, place - row_number() OVER (PARTITION BY doc_id ORDER BY place) AS run FROM places
+), spans AS (
+  SELECT doc_id, run, min(place) AS a, max(place) + 1 AS b FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS c FROM spans
+), joined AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS z,
+         string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) AS front
+  FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+       CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(coalesce(front, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+FROM texts LEFT JOIN joined USING (doc_id)
+"""
+
 SQL_OP5 = """
 WITH usable AS (
   SELECT vec_id, embedding FROM embeddings
@@ -88,8 +149,15 @@ FROM placed
 """
 
 QUERIES = {
+    "op4_seed_and_extend": op4_seed_and_extend,
     "op5_bit_sliced_top_k": op5_bit_sliced_top_k,
     "op6_mix_sources": op6_mix_sources,
     "op9_block_matrix_neighbours": op9_block_matrix_neighbours,
+    "op10_radix_suffixes": op10_radix_suffixes,
+}
+SQL = {
+    "op4_seed_and_extend": SQL_OP4,
+    "op5_bit_sliced_top_k": SQL_OP5,
+    "op6_mix_sources": SQL_OP6,
+    "op10_radix_suffixes": SQL_OP10,
 }
-SQL = {"op5_bit_sliced_top_k": SQL_OP5, "op6_mix_sources": SQL_OP6}
