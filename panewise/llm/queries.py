@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewise.llm import bitslice, mixing, neighbours, substrings, suffixes
+from panewise.llm import bitslice, lines, mixing, neighbours, simhash, substrings, suffixes
 from panewise.sources.tables import table
 
 
@@ -14,6 +14,17 @@ def every(df: DataFrame, id_column: str, step: int) -> DataFrame:
     return df.where(F.pmod(F.col(id_column), F.lit(step)) == 0)
 
 
+def op2_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, threshold=2)
+    return groups.select("doc_id", "fingerprint", "component_id")
+
+
+def op3_patience_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_lines(table(spark, sf_dir, "documents"))
+    sha = F.sha2(F.coalesce("text", F.lit("")), 256)
+    return kept.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_removed", sha.alias("kept_sha256"))
+
+
 def op4_seed_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.drop_repeats(table(spark, sf_dir, "documents"), words=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -149,6 +160,8 @@ FROM placed
 """
 
 QUERIES = {
+    "op2_covering_simhash": op2_covering_simhash,
+    "op3_patience_lines": op3_patience_lines,
     "op4_seed_and_extend": op4_seed_and_extend,
     "op5_bit_sliced_top_k": op5_bit_sliced_top_k,
     "op6_mix_sources": op6_mix_sources,
