@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewise.llm import bitslice, lines, mixing, neighbours, simhash, substrings, suffixes
+from panewise.llm import bitslice, lines, mixing, neighbours, packing, simhash, substrings, suffixes, token_files
+from panewise.llm.tokens import default_path
+from panewise.session import shared_folder
 from panewise.sources.tables import table
 
 
@@ -40,6 +42,22 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op7_elias_fano_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark, "token-files")
+    token_files.write_tokens(
+        table(spark, sf_dir, "documents"), path, default_path("word_bpe_49k.json"), end_id=2
+    )
+    read = token_files.read_tokens(spark, path)
+    return read.select("doc_id", "start", "n_tokens", F.col("crc").alias("ids_crc32"))
+
+
+def op8_round_robin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    pieces = packing.pack(documents, default_path("byte_bpe_50k.json"), end_id=0, window=1024)
+    columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(*columns)
+
+
 def op9_block_matrix_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(rows, every(rows, "vec_id", 20), k=20)
@@ -165,6 +183,8 @@ QUERIES = {
     "op4_seed_and_extend": op4_seed_and_extend,
     "op5_bit_sliced_top_k": op5_bit_sliced_top_k,
     "op6_mix_sources": op6_mix_sources,
+    "op7_elias_fano_tokens": op7_elias_fano_tokens,
+    "op8_round_robin_packing": op8_round_robin_packing,
     "op9_block_matrix_neighbours": op9_block_matrix_neighbours,
     "op10_radix_suffixes": op10_radix_suffixes,
 }
