@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewise.llm import bitslice, lines, mixing, neighbours, packing, simhash, substrings, suffixes, token_files
+from panewise.llm import bitslice, lines, mixing, neighbours, packing, quality, simhash, substrings, suffixes, token_files
 from panewise.llm.tokens import default_path
 from panewise.session import shared_folder
 from panewise.sources.tables import table
@@ -16,6 +16,10 @@ def every(df: DataFrame, id_column: str, step: int) -> DataFrame:
     return df.where(F.pmod(F.col(id_column), F.lit(step)) == 0)
 
 
+def op1_byte_cnn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_groups(table(spark, sf_dir, "documents"), shingle=3, threshold=2)
     return groups.select("doc_id", "fingerprint", "component_id")
@@ -178,6 +182,7 @@ FROM placed
 """
 
 QUERIES = {
+    "op1_byte_cnn_quality": op1_byte_cnn_quality,
     "op2_covering_simhash": op2_covering_simhash,
     "op3_patience_lines": op3_patience_lines,
     "op4_seed_and_extend": op4_seed_and_extend,
