@@ -23,7 +23,7 @@ BLOCK, CHUNK = 64, 3
 PAD = 256
 #: Training rows per class, and the longest text among them in bytes: the sample's bound.
 TRAIN_DOCS, TRAIN_BYTES = 1_000, 32 << 10
-EPOCHS, BATCH, RATE, DECAY = 6, 32, 4e-3, 1e-4
+STEPS, BATCH, RATE, DECAY = 480, 32, 4e-3, 1e-4
 #: Bytes scored at once.
 SCORE_BYTES = 1 << 18
 
@@ -98,7 +98,7 @@ def pooled(layout: Layout, chunk_values: np.ndarray) -> tuple[np.ndarray, np.nda
     """Largest and mean hidden values of each text."""
     most = np.maximum.reduceat(chunk_values, layout.chunk_starts, axis=0)
     mean = np.add.reduceat(chunk_values, layout.chunk_starts, axis=0) / layout.chunk_counts[:, None]
-    return most, mean.astype(np.float32)
+    return most, mean.astype(chunk_values.dtype)
 
 
 def scores(w: Weights, texts: list[bytes]) -> np.ndarray:
@@ -166,18 +166,18 @@ def train(texts: list[bytes], labels: np.ndarray, share: float, seed: int = 7) -
     zeros = max(1, len(labels) - ones)
     importance = np.where(labels == 1, share / ones, (1 - share) / zeros)
     moments = [(np.zeros_like(a), np.zeros_like(a)) for a in w.all()]
-    step = 0
-    for epoch in range(EPOCHS):
-        order = rng.permutation(len(texts))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            found = gradients(w, [texts[i] for i in some], labels[some], importance[some])
-            step += 1
-            rate = RATE * (1 - (epoch + at / len(order)) / EPOCHS)
-            for a, d, (m, v) in zip(w.all(), found, moments):
-                m += 0.1 * (d - m)
-                v += 0.01 * (d * d - v)
-                a -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + rate * DECAY * a).astype(np.float32)
+    order = np.zeros(0, np.int64)
+    for step in range(1, STEPS + 1):
+        if not len(order):
+            order = rng.permutation(len(texts))
+        some, order = order[:BATCH], order[BATCH:]
+        found = gradients(w, [texts[i] for i in some], labels[some], importance[some])
+        rate = RATE * (1 - (step - 1) / STEPS)
+        for a, d, (m, v) in zip(w.all(), found, moments):
+            m += 0.1 * (d - m)
+            v += 0.01 * (d * d - v)
+            move = (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8) + DECAY * a
+            a -= (rate * move).astype(np.float32)
     return w
 
 
