@@ -75,7 +75,7 @@ def word_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         word = BYTE_VALUES[data[starts[i] : ends[i]]]
         while len(word) > 1:  # folds blocks, so that no array grows beyond the word
             word = np.array([grams(mix(b), len(b))[0] for b in np.array_split(word, -(-len(word) // 4096))])
-        h[i] = h[i] * BASE + word[0]
+        h[i : i + 1] = h[i : i + 1] * BASE + word[:1]
     return mix(h)
 
 
