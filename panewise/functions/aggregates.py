@@ -1,7 +1,8 @@
 """The five aggregates, in one step or as partial results that merge.
 
 ``scale`` sums a DOUBLE column as whole units of ``10**-scale``. The total is then
-the same whatever the order of the rows, and additions stay on 64-bit integers. In
+the same whatever the order of the rows, and additions stay on 64-bit integers. A value
+that is not the nearest double of so many decimals raises, so nothing is rounded away. In
 ANSI mode a total beyond 9.2e18 units raises instead of wrapping.
 """
 
@@ -30,15 +31,17 @@ class Aggregate:
     def value(self) -> Column:
         if self.scale is None or self.function not in ("sum", "avg"):
             return F.col(self.column)
-        return F.rint(F.col(self.column) * F.lit(10.0**self.scale)).cast("bigint")
+        value, unit = F.col(self.column), F.lit(10.0**self.scale)
+        units = F.rint(value * unit)
+        wrong = F.concat(
+            F.lit(f"{self.column} holds a value with more than {self.scale} decimals: "), value.cast("string")
+        )
+        whole = value.isNull() | ((units / unit == value) & (F.abs(units) < F.lit(2.0**53)))
+        return F.when(whole, units.cast("bigint")).otherwise(F.raise_error(wrong).cast("bigint"))
 
     def rescaled(self, total: Column) -> Column:
         return total if self.scale is None else total / F.lit(10.0**self.scale)
 
-    @property
-    def stem(self) -> str:
-        return self.column if self.scale is None else f"{self.column}_{self.scale}"
-
 
 def total(column: str, scale: int | None = None) -> Aggregate:
     return Aggregate("sum", column, scale)
@@ -90,34 +93,39 @@ def one_step(aggregates: dict[str, Aggregate]) -> list[Column]:
     return out
 
 
+#: The partial results each aggregate is merged from, and how each of them is merged.
+PARTS = {"sum": ("sum",), "avg": ("sum", "count"), "min": ("min",), "max": ("max",), "count": ("count",)}
+MERGED = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}
+
+
+def part_names(aggregates: dict[str, Aggregate]) -> dict[tuple, str]:
+    """A column name by place for each distinct partial result, so that none can clash."""
+    names: dict[tuple, str] = {}
+    for item in aggregates.values():
+        for part in PARTS[item.function]:
+            scale = item.scale if part == "sum" else None
+            names.setdefault((part, item.column, scale), f"__p{len(names)}")
+    return names
+
+
 def partial(aggregates: dict[str, Aggregate]) -> list[Column]:
     """Expressions over rows whose results :func:`merge` can add up."""
-    parts: dict[str, Column] = {}
-    for item in aggregates.values():
-        if item.function in ("sum", "avg"):
-            parts[f"sum_{item.stem}"] = F.sum(item.value)
-        if item.function in ("count", "avg"):
-            parts[f"count_{item.column}"] = F.count(item.column)
-        if item.function == "min":
-            parts[f"min_{item.column}"] = F.min(item.column)
-        if item.function == "max":
-            parts[f"max_{item.column}"] = F.max(item.column)
-    return [column.alias(name) for name, column in parts.items()]
+    out = []
+    for (part, column, scale), name in part_names(aggregates).items():
+        value = Aggregate(part, column, scale).value
+        out.append(getattr(F, part)(value).alias(name))
+    return out
 
 
 def merge(aggregates: dict[str, Aggregate]) -> list[Column]:
     """Final results over partial ones; averages are merged sum over merged count."""
-    out = []
+    names, out = part_names(aggregates), []
     for name, item in aggregates.items():
-        if item.function == "sum":
-            column = item.rescaled(F.sum(f"sum_{item.stem}"))
-        elif item.function == "avg":
-            column = item.rescaled(F.sum(f"sum_{item.stem}")) / F.sum(f"count_{item.column}")
-        elif item.function == "min":
-            column = F.min(f"min_{item.column}")
-        elif item.function == "max":
-            column = F.max(f"max_{item.column}")
-        else:
-            column = F.sum(f"count_{item.column}")
-        out.append(column.alias(name))
+        scales = {"sum": item.scale}
+        merged = [
+            MERGED[part](names[part, item.column, scales.get(part)]) for part in PARTS[item.function]
+        ]
+        if item.function in ("sum", "avg"):
+            merged[0] = item.rescaled(merged[0])
+        out.append((merged[0] / merged[1] if len(merged) == 2 else merged[0]).alias(name))
     return out

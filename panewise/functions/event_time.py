@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panewise.functions.names import resolve
+
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
 
@@ -20,7 +22,7 @@ def duration(seconds: int) -> str:
 
 
 def _is_ntz(df: DataFrame, ts: str) -> bool:
-    dtype = df.schema[ts].dataType
+    dtype = df.select(resolve(df, ts)).schema[0].dataType
     if isinstance(dtype, T.TimestampNTZType):
         return True
     if isinstance(dtype, T.TimestampType):
@@ -30,7 +32,7 @@ def _is_ntz(df: DataFrame, ts: str) -> bool:
 
 def with_pane(df: DataFrame, ts: str, width: int, name: str) -> DataFrame:
     """Add the pane number of each row as a BIGINT column."""
-    start = F.window(ts, duration(width)).getField("start")
+    start = F.window(resolve(df, ts), duration(width)).getField("start")
     panes = df.withColumn(name, start)
     if _is_ntz(df, ts):
         # Pane starts are whole seconds, so the integral cast loses nothing.
@@ -57,7 +59,7 @@ def pane_start(df: DataFrame, ts: str, pane: str, width: int) -> Column:
 def to_instant(ts: str) -> Column:
     """Zone-less timestamp as an instant, reading it as UTC (watermarks need instants)."""
     return F.expr(
-        f"timestamp_seconds(CAST(CAST(`{ts}` - {EPOCH} AS INTERVAL SECOND) AS DECIMAL(20, 6)))"
+        f"timestamp_seconds(CAST(CAST({ts} - {EPOCH} AS INTERVAL SECOND) AS DECIMAL(20, 6)))"
     )
 
 

@@ -9,7 +9,7 @@ from panewise.functions.aggregates import Aggregate
 from panewise.operators.filters import where as keep
 from panewise.operators.grouping import summarise
 from panewise.operators.joins import join
-from panewise.operators.windows import BOUNDS, window_aggregate, window_rows
+from panewise.operators.windows import BOUNDS, pane_aggregate, window_aggregate, window_rows
 
 
 def select_from(
@@ -36,7 +36,10 @@ def select_from(
         if group_by is not None and set(group_by) != set(keys):
             raise ValueError(f"grouped by {sorted(group_by)} but selecting {sorted(keys)}")
         if window:
-            df = window_aggregate(df, *window, keys, aggregates)
+            # windows of several whole panes are merged from panes, whatever their length
+            of_panes = window[1] > window[2] and window[1] % window[2] == 0
+            form = pane_aggregate if of_panes else window_aggregate
+            df = form(df, *window, keys, aggregates)
         else:
             df = summarise(df, keys, aggregates)
     elif group_by:

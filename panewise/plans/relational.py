@@ -179,7 +179,18 @@ def whole_statement(spark, sf):
     )
 
 
+def statement_day(spark, sf):
+    """A window of 24 panes in a statement: rows are combined per pane, not copied 24 times."""
+    return select_from(
+        table(spark, sf, "events"),
+        ["window_start", "user_id", "n", "spent"],
+        aggregates={"n": count("value"), "spent": total("value", 2)},
+        window=("ts", 24 * HOUR, HOUR),
+    )
+
+
 QUERIES = {
+    "statement_day": statement_day,
     "project_rename": project_rename,
     "project_qualified": project_qualified,
     "project_repeated": project_repeated,
@@ -215,7 +226,8 @@ def _quantity(condition):
 
 
 def exact_sum(column):
-    return f"CAST(sum(CAST(round({column} * 100) AS BIGINT)) AS DOUBLE) / 100.0"
+    """A sum in decimals; values with up to four of them count whole."""
+    return f"CAST(sum(CAST({column} AS DECIMAL(38, 4))) AS DOUBLE)"
 
 
 SQL = {
@@ -279,6 +291,10 @@ SQL = {
     "agg_having": f"""
         SELECT user_id, count(*) AS n, {exact_sum('value')} AS spent
         FROM events GROUP BY user_id HAVING count(*) > 60""",
+    "statement_day": f"""
+        SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') - to_hours(k) AS window_start,
+               user_id, count(*) AS n, {exact_sum('value')} AS spent
+        FROM events, range(24) AS steps(k) GROUP BY 1, 2""",
     "whole_statement": f"""
         SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS window_start,
                event_type, count(*) AS events, {exact_sum('value')} AS spent

@@ -62,7 +62,22 @@ def window_filtered(spark, sf):
     return window_rows(clicks.select("event_id", "user_id", "ts"), "ts", 3 * HOUR, HOUR)
 
 
+def window_agg_names(spark, sf):
+    """Qualified columns, and names that look like those of partial results."""
+    events = table(spark, sf, "events").withColumn("value_2", F.col("event_id").cast("double"))
+    events = events.withColumn("count_value", F.col("event_type"))
+    return pane_aggregate(
+        events.alias("t"),
+        "t.ts",
+        3 * HOUR,
+        HOUR,
+        ["t.count_value"],
+        {"spent": total("t.value", 2), "ids": total("t.value_2"), "average": mean("value", 2)},
+    )
+
+
 QUERIES = {
+    "window_agg_names": window_agg_names,
     "batch_count": batch_count,
     "window_rows_sliding": window_rows_sliding,
     "window_agg_tumbling": window_agg_tumbling,
@@ -92,6 +107,10 @@ def _five(size, slide):
 
 
 SQL = {
+    "window_agg_names": f"""
+        SELECT window_start, window_end, event_type AS count_value, {exact_sum('value')} AS spent,
+               CAST(sum(event_id) AS DOUBLE) AS ids, {exact_sum('value')} / count(*) AS average
+        FROM ({windowed(3, 1)}) GROUP BY window_start, window_end, event_type""",
     "batch_count": f"""
         SELECT window_start, window_end, count(*) AS n
         FROM ({windowed(1, 1)}) GROUP BY window_start, window_end""",

@@ -81,6 +81,24 @@ def test_exact_sum_does_not_depend_on_order(spark):
     assert sums == {sum(range(100_000)) / 100}
 
 
+def test_sums_never_round_a_value_away(spark):
+    """A value with more decimals than the scale says stops the query."""
+    df = spark.createDataFrame([(0.004,), (None,), (0.07,), (-2.5,)], "v double")
+    assert rows(summarise(df.where("v <> 0.004"), [], {"s": total("v", 2)})) == [(-2.43,)]
+    assert rows(summarise(df, [], {"s": total("v", 3)})) == [(-2.426,)]
+    for wrong in (df, spark.createDataFrame([(float("nan"),)], "v double"), spark.createDataFrame([(1e300,)], "v double")):
+        with pytest.raises(Exception, match="more than 2 decimals"):
+            summarise(wrong, [], {"s": total("v", 2)}).collect()
+
+
+def test_long_windows_of_a_statement_do_not_copy_rows(spark, sf):
+    from panewise.plans.relational import statement_day
+
+    text = plan(statement_day(spark, sf))
+    assert "Expand" not in text
+    assert text.rindex("partial_sum") > text.rindex("Generate explode")  # rows are combined below the copies
+
+
 def test_global_aggregate_of_nothing(df):
     assert rows(summarise(df.where("n > 9"), [], {"c": count("n")})) == []
     assert rows(summarise(df.where("n > 9"), ["k"], {"c": count("n")})) == []

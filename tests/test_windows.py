@@ -40,6 +40,25 @@ def test_three_pane_window(spark, form):
     assert by_last == {0: (1, 1), 1: (2, 3), 2: (3, 7), 3: (3, 14), 4: (2, 12), 5: (1, 8)}
 
 
+def test_names_that_look_like_partials(spark):
+    """Partial results are told apart by place, and columns and keys may be qualified."""
+    data = [(at(10 * i), "ab"[i % 2], i / 100, i * 7, "k") for i in range(50)]
+    df = series(spark, data, "ts timestamp_ntz, count_v string, v double, v_2 int, sum_v string")
+    wanted = {"v": total("v", 2), "v_2": total("v_2"), "m": mean("v"), "n": count("v_2"), "hi": highest("v")}
+    for keys in (["count_v"], ["count_v", "sum_v"], []):
+        want = rows(window_aggregate(df, "ts", 60, 20, keys, wanted))
+        got = pane_aggregate(df, "ts", 60, 20, keys, wanted)
+        assert got.columns == window_aggregate(df, "ts", 60, 20, keys, wanted).columns
+        assert [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in rows(got)] == [
+            tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in want
+        ]
+    named = {"v": total("t.v", 2), "n": count("t.v_2")}
+    got = pane_aggregate(df.alias("t"), "t.ts", 60, 20, ["t.count_v"], named)
+    assert rows(got) == rows(window_aggregate(df.alias("t"), "t.ts", 60, 20, ["t.count_v"], named))
+    with pytest.raises(ValueError):
+        pane_aggregate(df.withColumnRenamed("sum_v", "__p0"), "ts", 60, 20, ["__p0"], wanted)
+
+
 def random_events(n, seed):
     rng = random.Random(seed)
     return [
