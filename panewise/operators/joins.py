@@ -13,8 +13,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panewise.functions.names import resolve
+
 KINDS = ("inner", "left", "right", "full")
 
+#: A key with more than this share of a side's rows is split in outer joins.
+HOT_SHARE = 0.01
+
 
 def _field(df: DataFrame, name: str) -> T.StructField | None:
     names = df.columns
@@ -40,7 +45,9 @@ def oriented(left: DataFrame, right: DataFrame, pair: tuple[str, str]) -> tuple[
                     f"{a} is {left_field.dataType.simpleString()} but "
                     f"{b} is {right_field.dataType.simpleString()}"
                 )
-            return a, b
+            if a == b:
+                raise ValueError(f"{a} = {b} does not tell the sides apart: alias or qualify them")
+            return resolve(left, a), resolve(right, b)
     raise ValueError(f"{pair[0]} = {pair[1]} does not join the two sides")
 
 
@@ -48,42 +55,86 @@ def equal(pairs: list[tuple[str, str]]) -> Column:
     return reduce(lambda x, y: x & y, (F.col(a) == F.col(b) for a, b in pairs))
 
 
+def shared_names(left: DataFrame, right: DataFrame) -> None:
+    """Refuse inputs whose columns could not be told apart in the result."""
+    shared = set(left.columns) & set(right.columns)
+    if shared:
+        raise ValueError(f"both sides have {sorted(shared)}: name the columns with qualified()")
+
+
 def join(
     left: DataFrame,
     right: DataFrame,
     on: list[tuple[str, str]],
     how: str = "inner",
     split_hot: bool | None = None,
+    hot_share: float = HOT_SHARE,
 ) -> DataFrame:
     """Join on one or more equal columns, keeping the columns of both sides.
 
     ``on`` holds pairs such as ``("orders.o_custkey", "customer.c_custkey")`` in either
     order; both columns must have the same type. An empty list would mean a cross
-    product and is refused. Outer joins need column names that differ between the sides.
+    product and is refused. Sides that share column names are aliased (inner joins) or
+    named with :func:`panewise.functions.names.qualified` (all joins).
 
     Adaptive execution splits the partition of a hot key, within two limits. Both sides
     must be shuffled for the join itself, which is not so for a side that is already
     grouped by the keys. And it splits either side of an inner join, but only the
     preserved side of a left or right join and no side of a full join.
 
-    ``split_hot=True`` lifts both. A hash of the keys joins the equality, so that each
-    side is shuffled for the join. An outer join becomes an inner join plus the rows
-    without a partner, found by an anti join against the distinct keys of the other side;
-    the preserved side is shuffled once for both. This is the default for outer joins.
-    ``split_hot=False`` asks for Spark's plain join, the default for inner joins: right
-    for an inner join of ungrouped inputs, and cheaper wherever no key is hot.
+    An outer join therefore first counts both sides per key, combined map-side. Rows whose
+    key has more than ``hot_share`` of a side (so at most ``1 / hot_share`` keys a side)
+    become an inner join plus the rows without a partner, which Spark can split; all other
+    rows take one plain join. A small side has hot keys by this count without harm. The
+    result is the same for any share. ``split_hot=False`` leaves the counting out; ``split_hot=True`` treats every
+    key as hot, and for an inner join hashes the keys, so that both sides are shuffled.
     """
     if how not in KINDS:
         raise ValueError(f"unknown join {how}: use one of {KINDS}")
     if not on:
         raise ValueError("a join needs at least one pair of columns")
     pairs = [oriented(left, right, pair) for pair in on]
-    shared = set(left.columns) & set(right.columns)
-    if how != "inner" and shared:
-        raise ValueError(f"rename the columns of one side first: {sorted(shared)}")
-    if not (how != "inner" if split_hot is None else split_hot):
+    if how != "inner":
+        shared_names(left, right)
+    if split_hot is False or how == "inner" and not split_hot:
         return left.join(right, equal(pairs), how)
+    if split_hot:
+        return _split_join(left, right, pairs, how)
+    left_keys, right_keys = [a for a, _ in pairs], [b for _, b in pairs]
+    hot = _hot_keys(left, right, pairs, hot_share)
+    if not hot:
+        return left.join(right, equal(pairs), how)
+    left_hot, right_hot = _is_one_of(left_keys, hot), _is_one_of(right_keys, hot)
+    ordinary = left.where(~left_hot).join(right.where(~right_hot), equal(pairs), how)
+    return ordinary.unionByName(_split_join(left.where(left_hot), right.where(right_hot), pairs, how))
+
+
+def _hot_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], share: float) -> set[tuple]:
+    """Keys that more than ``share`` of a side's rows have: at most ``2 / share`` of them."""
+    names = [f"__k{i}" for i in range(len(pairs))]
+
+    def keys(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+        known = reduce(lambda x, y: x & y, (F.col(c).isNotNull() for c in columns))
+        named = [F.col(c).alias(n) for c, n in zip(columns, names)]
+        return df.where(known).select(F.lit(side).alias("__side"), *named)
+
+    both = keys(left, [a for a, _ in pairs], "left").unionByName(keys(right, [b for _, b in pairs], "right"))
+    rows = {r["__side"]: r["count"] for r in both.groupBy("__side").count().collect()}
+    counts = both.groupBy("__side", *names).agg(F.count("*").alias("__n"))
+    top = counts.orderBy(F.desc("__n"), "__side", *names).limit(int(2 / share) + 2).collect()
+    return {tuple(r[n] for n in names) for r in top if r["__n"] > share * rows[r["__side"]]}
+
+
+def _is_one_of(keys: list[str], values: set[tuple]) -> Column:
+    """Whether the keys are one of a bounded set of values; never null."""
+    ordered = sorted(values, key=repr)
+    one = [reduce(lambda x, y: x & y, (F.col(k) == F.lit(v) for k, v in zip(keys, row))) for row in ordered]
+    return F.coalesce(reduce(lambda x, y: x | y, one), F.lit(False))
+
 
+def _split_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], how: str) -> DataFrame:
+    """An inner join plus the rows without a partner, found by an anti join against the
+    distinct keys of the other side. Hashes of the keys make every side shuffle for it."""
     lefts = _with_hash(left, [a for a, _ in pairs], "__left_hash")
     rights = _with_hash(right, [b for _, b in pairs], "__right_hash")
     hashes = ("__left_hash", "__right_hash")

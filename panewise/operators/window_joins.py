@@ -2,7 +2,9 @@
 
 The left input keeps its last ``left_panes`` panes and the right one its last
 ``right_panes``. A pair of rows with equal keys is reported for every pane at whose end
-both rows are kept; ``last_pane`` is the start of that pane.
+both rows are kept; ``last_pane`` is the start of that pane. Rows without a timestamp lie
+in no pane. Inputs that share column names are named with
+:func:`panewise.functions.names.qualified` first.
 """
 
 from __future__ import annotations
@@ -11,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panewise.functions.event_time import block_start, pane_start, with_pane
-from panewise.operators.joins import equal, oriented
+from panewise.functions.names import quoted
+from panewise.operators.joins import equal, oriented, shared_names
 
 _L, _R = "__left_pane", "__right_pane"
 
@@ -19,9 +22,7 @@ _L, _R = "__left_pane", "__right_pane"
 def _prepare(
     left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, pane: int, *counts: int
 ) -> tuple[DataFrame, DataFrame]:
-    shared = set(left.columns) & set(right.columns)
-    if shared:
-        raise ValueError(f"rename the columns of one side first: {sorted(shared)}")
+    shared_names(left, right)
     if min(counts) < 1:
         raise ValueError("a window holds at least one pane")
     return with_pane(left, left_ts, pane, _L), with_pane(right, right_ts, pane, _R)
@@ -34,9 +35,8 @@ def _equal(left: DataFrame, right: DataFrame, on: list[tuple[str, str]]) -> Colu
 
 
 def _report(joined: DataFrame, left: DataFrame, right: DataFrame, ts: str, pane: int) -> DataFrame:
-    return joined.select(
-        pane_start(joined, ts, "__last", pane).alias("last_pane"), *left.columns, *right.columns
-    )
+    kept = [quoted(c) for c in (*left.columns, *right.columns)]
+    return joined.select(pane_start(left, ts, "__last", pane).alias("last_pane"), *kept)
 
 
 def window_join(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panewise.functions.aggregates import count, total
+from panewise.functions.names import qualified
 from panewise.operators.filters import where
 from panewise.operators.grouping import summarise
 from panewise.operators.joins import join
@@ -152,6 +153,33 @@ def windows_meet(form, left_panes, right_panes):
     return query
 
 
+def kind_of_event(events, kind, name):
+    """Two of these share all their column names; ``qualified`` tells them apart."""
+    rows = events.where(F.col("event_type") == kind).select("user_id", "event_id", "ts")
+    return qualified(rows, name)
+
+
+MEETING = ["last_pane", "click_user", "click_id", "click_ts", "buyer", "purchase_id", "purchase_ts"]
+
+
+def join_left_shared(spark, sf):
+    events = table(spark, sf, "events")
+    large = events.where(F.col("value") > 60.0)
+    clicks = kind_of_event(large, "click", "c")
+    pairs = join(clicks, kind_of_event(large, "purchase", "p"), [("c.user_id", "p.user_id")], "left")
+    keys = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("none")) for c in ("c.event_id", "p.event_id")]
+    return pairs.select(keys[0].alias("click_id"), keys[1].alias("purchase_id"))
+
+
+def windows_meet_shared(form):
+    def query(spark, sf):
+        events = table(spark, sf, "events")
+        sides = kind_of_event(events, "click", "c"), kind_of_event(events, "purchase", "p")
+        return form(*sides, [("c.user_id", "p.user_id")], "c.ts", "p.ts", HOUR, 4, 3).toDF(*MEETING)
+
+    return query
+
+
 def _orders_customer(spark, sf):
     orders, customer = table(spark, sf, "orders"), table(spark, sf, "customer")
     return join_selectivity(orders, customer, [("o_custkey", "c_custkey")])
@@ -178,6 +206,9 @@ def cross_product_size(spark, sf):
 
 
 QUERIES = {
+    "join_left_shared": join_left_shared,
+    "window_join_shared": windows_meet_shared(window_join),
+    "window_join_panes_shared": windows_meet_shared(pane_join),
     "join_single": join_single,
     "join_reversed_condition": join_reversed_condition,
     "join_multi_key": join_multi_key,
@@ -190,7 +221,7 @@ QUERIES = {
     "join_after_agg": join_after_agg,
     "window_join_equal": windows_meet(window_join, 3, 3),
     "window_join_panes_equal": windows_meet(pane_join, 3, 3),
-    "window_join_asym": windows_meet(window_join, 24, 3),
+    "window_join_asym": windows_meet(pane_join, 24, 3),
     "window_join_panes_asym": windows_meet(pane_join, 24, 3),
     "join_selectivity": _orders_customer,
     "join_edge_ranking": join_edge_ranking,
@@ -233,6 +264,12 @@ def _profile(name, left, right, left_key, right_key):
               ON {left_key} = {right_key})"""
 
 
+_SHARED = f"""
+    SELECT last_pane, c.user_id AS click_user, click_id, c.ts AS click_ts,
+           p.user_id AS buyer, purchase_id, p.ts AS purchase_ts
+    FROM ({_windows_meet(4, 3)}) AS m
+    JOIN events AS c ON c.event_id = m.click_id JOIN events AS p ON p.event_id = m.purchase_id"""
+
 _EDGES = " UNION ALL ".join(
     _profile(*edge)
     for edge in (
@@ -244,6 +281,14 @@ _EDGES = " UNION ALL ".join(
 )
 
 SQL = {
+    "join_left_shared": """
+        SELECT CAST(c.event_id AS VARCHAR) AS click_id,
+               coalesce(CAST(p.event_id AS VARCHAR), 'none') AS purchase_id
+        FROM (SELECT * FROM events WHERE event_type = 'click' AND value > 60) AS c
+        LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase' AND value > 60) AS p
+          ON c.user_id = p.user_id""",
+    "window_join_shared": _SHARED,
+    "window_join_panes_shared": _SHARED,
     "join_single": _SINGLE,
     "join_reversed_condition": _SINGLE,
     "join_multi_key": f"""

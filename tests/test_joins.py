@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from panewise.functions.names import qualified
 from panewise.operators.joins import join
 from panewise.operators.selectivity import join_selectivity, product_size, rank_edges
 from panewise.plans import joins as plans
@@ -114,7 +115,8 @@ def joins_in(text):
 @pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
 @pytest.mark.parametrize("hot", ["left", "right"])
 def test_hot_key_is_split(spark, small_partitions_are_large, how, hot):
-    """Whichever side is hot, every join that meets its rows splits them."""
+    """Whichever side is hot, every join that meets its rows splits them. The outer join
+    proper gets the rows of ordinary keys."""
     left = hot_side_of(spark, "l", hot == "left")
     right = hot_side_of(spark, "r", hot == "right")
     joined = join(left, right, [("lk", "rk")], how)
@@ -125,11 +127,41 @@ def test_hot_key_is_split(spark, small_partitions_are_large, how, hot):
     text = final_plan(joined)
     side = {"left": "[lk", "right": "[rk"}[hot]
     for line in joins_in(text):
-        if "LeftAnti" not in line or side in line.split("],")[0]:
+        if "Outer" not in line and ("LeftAnti" not in line or side in line.split("],")[0]):
             assert "skew=true" in line, line
+    assert sum("Outer" in line for line in joins_in(text)) == (how != "inner")
     assert any("skew=true" in line for line in joins_in(text))
 
 
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+def test_outer_join_without_hot_keys_is_one_join(spark, small_partitions_are_large, how):
+    left, right = hot_side_of(spark, "l", False), hot_side_of(spark, "r", False)
+    text = final_plan(join(left, right, [("lk", "rk")], how))
+    assert len(joins_in(text)) == 1
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+@pytest.mark.parametrize("share", [0.9, 0.2, 0.001])
+def test_share_changes_nothing(left, right, how, share):
+    want = rows(join(left, right, [("lk", "rk")], how, split_hot=False))
+    assert rows(join(left, right, [("lk", "rk")], how, hot_share=share)) == want
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "right", "full"])
+def test_shared_names(left, how):
+    """Inputs with equal columns, named by table."""
+    a, b = qualified(left, "a"), qualified(left, "b")
+    both = join(a, b, [("b.lk", "a.lk")], how)
+    assert both.columns == ["a.lk", "a.l", "b.lk", "b.l"]
+    want = left.toDF("x", "y").join(left.toDF("u", "v"), F.col("x") == F.col("u"), how)
+    assert rows(both) == rows(want)
+
+
+def test_keys_that_cannot_be_told_apart(left):
+    with pytest.raises(ValueError, match="alias or qualify"):
+        join(left, left, [("lk", "lk")])
+
+
 def test_outer_joins_shuffle_the_preserved_side_once(spark, small_partitions_are_large):
     left, right = hot_side_of(spark, "l", True), hot_side_of(spark, "r", False)
     assert "ReusedExchange" in final_plan(join(left, right, [("lk", "rk")], "left"))
