@@ -11,7 +11,7 @@ from panewise.operators.sinks import write_delimited
 from panewise.plans.relational import exact_sum
 from panewise.session import shared_folder
 from panewise.sources.delimited import declare, line_counts, parse, split_addresses
-from panewise.sources.slices import dense_slice, time_slice, with_arrival_index
+from panewise.sources.slices import dense_slice, time_slice, with_arrival_index, with_line_index
 from panewise.sources.tables import table
 
 LINE_SCHEMA = "orderkey int, linenumber int, price double, flag string"
@@ -123,7 +123,17 @@ def count_slices_arrival(spark, sf):
     return summarise(sliced, ["slice"], {"n": count("arrival")})
 
 
+def text_line_index(spark, sf):
+    """Lines of text files numbered in the order in which the files hold them."""
+    path = shared_folder(spark, "orders-text")
+    orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    in_order = orders.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    write_delimited(in_order, path, orders.columns, "|")
+    return with_line_index(spark.read.text(path)).select("arrival", F.col("value").alias("line"))
+
+
 QUERIES = {
+    "text_line_index": text_line_index,
     "parse_delimited": parse_delimited,
     "parse_rejected_count": parse_rejected_count,
     "parse_pairs": parse_pairs,
@@ -145,6 +155,10 @@ _TARGET = "concat_ws('.', l_partkey, l_suppkey, l_linenumber)"
 _TARGET_HOST = "concat_ws('.', l_orderkey, l_suppkey)"
 
 SQL = {
+    "text_line_index": """
+        SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS arrival,
+               concat_ws('|', o_orderkey, o_orderpriority) AS line
+        FROM orders""",
     "parse_delimited": f"""
         SELECT CAST(l_orderkey AS INTEGER) AS orderkey, l_linenumber AS linenumber,
                l_extendedprice AS price, l_returnflag AS flag

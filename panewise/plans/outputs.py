@@ -10,26 +10,32 @@ from pyspark.sql import functions as F
 
 from panewise.functions.aggregates import count, highest, total
 from panewise.functions.event_time import from_instant
+from panewise.functions.names import quoted
 from panewise.operators.filters import where
 from panewise.operators.sinks import delimited_lines, write_delimited
 from panewise.plans.inputs import LINE_SCHEMA, damaged_lines
 from panewise.plans.inputs import SQL as INPUT_SQL
+from panewise.plans.joins import MEETING, kind_of_event
 from panewise.plans.joins import SQL as JOIN_SQL
 from panewise.plans.relational import exact_sum
 from panewise.plans.windows import windowed
 from panewise.session import shared_folder
-from panewise.sources.delimited import declare_stream
+from panewise.sources.delimited import declare, declare_stream
+from panewise.sources.slices import replay_by_count, replay_by_time, with_arrival_index
 from panewise.sources.tables import stream_table, table
 from panewise.streaming.queries import stream_join, stream_window_aggregate, stream_window_join
 from panewise.streaming.sinks import (
     append_parquet,
+    batch_log,
     latest,
-    progress,
     several_outputs,
+    timings,
     upsert_parquet,
 )
 
 HOUR = 3600
+#: Slices of event time, one micro-batch each, in which the streams get their input.
+SLICES = 6
 SPENT = {"spent": total("value", 2), "high": highest("value"), "n": count("value")}
 
 
@@ -40,9 +46,29 @@ def output_delimited(spark, sf):
     return lines.withColumnRenamed("value", "line")
 
 
+def replayed_events(spark, sf):
+    """The table as a stream of several micro-batches in the order of event time."""
+    folder = shared_folder(spark, "replay")
+    replay_by_time(table(spark, sf, "events"), "ts", f"{folder}/events.parquet", SLICES)
+    return lambda: stream_table(spark, folder, "events", files_per_batch=1)
+
+
+def output_read_back(spark, sf):
+    """Write texts as delimited lines, declare the folder, and count what came back."""
+    path = shared_folder(spark, "texts")
+    columns = ["doc_id", "text", "lang"]
+    documents = table(spark, sf, "documents").select(*columns)
+    write_delimited(documents, f"{path}/lines", columns, "|", rejects=f"{path}/rejects")
+    typed = declare(spark, "pw_texts", "doc_id int, text string, lang string", f"{path}/lines", "|")
+    read = typed.agg(F.count("*").alias("n_read"), F.sum(F.length("text")).alias("n_chars"))
+    rejected = spark.read.parquet(f"{path}/rejects").agg(F.count("*").alias("n_rejected"))
+    one = F.lit(1)
+    return read.withColumn("one", one).join(rejected.withColumn("one", one), "one").drop("one")
+
+
 def stream_window_agg(spark, sf):
     """Every window, open ones too: each micro-batch writes the windows it changed."""
-    events = stream_table(spark, sf, "events")
+    events = replayed_events(spark, sf)()
     sums = stream_window_aggregate(events, "ts", 3 * HOUR, HOUR, HOUR, ["event_type"], SPENT)
     path = shared_folder(spark, "window-agg")
     upsert_parquet(sums, f"{path}/rows", f"{path}/checkpoint")
@@ -51,7 +77,7 @@ def stream_window_agg(spark, sf):
 
 def stream_window_closed(spark, sf):
     """Only the windows the watermark has closed, each written once."""
-    events = stream_table(spark, sf, "events")
+    events = replayed_events(spark, sf)()
     sums = stream_window_aggregate(events, "ts", 3 * HOUR, HOUR, HOUR, ["event_type"], SPENT)
     path = shared_folder(spark, "window-closed")
     append_parquet(sums, f"{path}/rows", f"{path}/checkpoint")
@@ -59,7 +85,7 @@ def stream_window_closed(spark, sf):
 
 
 def stream_batch_count(spark, sf):
-    events = stream_table(spark, sf, "events")
+    events = replayed_events(spark, sf)()
     counts = stream_window_aggregate(events, "ts", HOUR, None, HOUR, [], {"n": count("event_id")})
     path = shared_folder(spark, "batch-count")
     upsert_parquet(counts, f"{path}/rows", f"{path}/checkpoint")
@@ -67,11 +93,12 @@ def stream_batch_count(spark, sf):
 
 
 def _clicks_and_purchases(spark, sf):
-    events = stream_table(spark, sf, "events")
+    stream = replayed_events(spark, sf)
+    events = stream()
     clicks = where(events, F.col("event_type"), "=", F.lit("click")).select(
         "user_id", F.col("event_id").alias("click_id"), F.col("ts").alias("click_ts")
     )
-    events = stream_table(spark, sf, "events")
+    events = stream()
     purchases = where(events, F.col("event_type"), "=", F.lit("purchase")).select(
         F.col("user_id").alias("buyer_id"),
         F.col("event_id").alias("purchase_id"),
@@ -88,7 +115,6 @@ def stream_pairs(spark, sf):
         after=10 * HOUR,
         delay=HOUR,
         right_id="purchase_id",
-        splits=4,
     )
     path = shared_folder(spark, "pairs")
     append_parquet(pairs, f"{path}/rows", f"{path}/checkpoint")
@@ -110,7 +136,6 @@ def stream_windows_meet(spark, sf):
         right_panes=3,
         delay=HOUR,
         right_id="purchase_id",
-        splits=4,
     )
     path = shared_folder(spark, "windows-meet")
     append_parquet(pairs, f"{path}/rows", f"{path}/checkpoint")
@@ -118,10 +143,35 @@ def stream_windows_meet(spark, sf):
     return rows.select("last_pane", "user_id", "click_id", "purchase_id")
 
 
+def stream_windows_shared(spark, sf):
+    """Two windowed streams of one schema, joined pane by pane."""
+    stream = replayed_events(spark, sf)
+    sides = kind_of_event(stream(), "click", "c"), kind_of_event(stream(), "purchase", "p")
+    pairs = stream_window_join(
+        *sides, [("c.user_id", "p.user_id")], "c.ts", "p.ts", HOUR, 4, 3, HOUR, "p.event_id"
+    )
+    times = {"c.ts": from_instant("`c.ts`"), "p.ts": from_instant("`p.ts`")}
+    shown = [times.get(c, F.col(quoted(c))).alias(m) for c, m in zip(pairs.columns, MEETING)]
+    path = shared_folder(spark, "windows-shared")
+    append_parquet(pairs.select(*shown), f"{path}/rows", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/rows")
+
+
+def stream_count_slices(spark, sf):
+    """A table replayed in slices of 2,500 records; every micro-batch gives its own counts."""
+    path = shared_folder(spark, "records")
+    events = with_arrival_index(table(spark, sf, "events").select("event_id", "value"))
+    replay_by_count(events, "arrival", 2500, f"{path}/in/events.parquet")
+    stream = stream_table(spark, f"{path}/in", "events", files_per_batch=1)
+    sizes = {"sizes": lambda batch: batch.agg(F.min("arrival").alias("first"), F.count("*").alias("n"))}
+    several_outputs(stream, sizes, f"{path}/rows", f"{path}/checkpoint")
+    return spark.read.parquet(f"{path}/rows/sizes").select("first", "n")
+
+
 def stream_parse(spark, sf):
     """Delimited text files arriving in a folder, parsed as they arrive."""
     path = shared_folder(spark, "lines")
-    write_delimited(damaged_lines(spark, sf), f"{path}/text", ["value"], ",")
+    damaged_lines(spark, sf).write.text(f"{path}/text")
     typed = declare_stream(spark, "pw_lines", LINE_SCHEMA, f"{path}/text", ",")
     append_parquet(typed, f"{path}/rows", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/rows")
@@ -129,7 +179,7 @@ def stream_parse(spark, sf):
 
 def stream_several_outputs(spark, sf):
     """One stream, two results per micro-batch."""
-    events = stream_table(spark, sf, "events").select("event_id", "event_type", "value")
+    events = replayed_events(spark, sf)().select("event_id", "event_type", "value")
     outputs = {
         "clicks": lambda batch: where(batch, F.col("event_type"), "=", F.lit("click")),
         "dear": lambda batch: where(batch, F.col("value"), ">", F.lit(100.0)),
@@ -146,12 +196,15 @@ def stream_several_outputs(spark, sf):
 
 
 def stream_progress(spark, sf):
-    """Rows and times of the micro-batches of a window aggregate."""
-    events = stream_table(spark, sf, "events")
+    """Rows read and rows left out as late, over all logged micro-batches of a query."""
+    events = replayed_events(spark, sf)()
     sums = stream_window_aggregate(events, "ts", HOUR, None, HOUR, ["user_id"], SPENT)
     path = shared_folder(spark, "progress")
-    query = append_parquet(sums, f"{path}/rows", f"{path}/checkpoint")
-    return progress(spark, query)
+    with batch_log(spark, f"{path}/log"):
+        append_parquet(sums, f"{path}/rows", f"{path}/checkpoint")
+    return timings(spark, f"{path}/log").agg(
+        F.sum("input_rows").alias("input_rows"), F.sum("dropped_rows").alias("dropped_rows")
+    )
 
 
 QUERIES = {
@@ -161,6 +214,9 @@ QUERIES = {
     "stream_batch_count": stream_batch_count,
     "stream_join": stream_pairs,
     "stream_window_join": stream_windows_meet,
+    "stream_windows_shared": stream_windows_shared,
+    "stream_count_slices": stream_count_slices,
+    "output_read_back": output_read_back,
     "stream_parse": stream_parse,
     "stream_several_outputs": stream_several_outputs,
     "stream_progress": stream_progress,
@@ -189,6 +245,16 @@ SQL = {
          AND p.ts BETWEEN c.ts - INTERVAL 10 HOUR AND c.ts + INTERVAL 10 HOUR
         WHERE c.event_type = 'click' AND p.event_type = 'purchase'""",
     "stream_window_join": JOIN_SQL["window_join_asym"],
+    "stream_windows_shared": JOIN_SQL["window_join_shared"],
+    "stream_count_slices": """
+        SELECT min(place - 1) AS first, count(*) AS n
+        FROM (SELECT row_number() OVER () AS place FROM events) GROUP BY (place - 1) // 2500""",
+    "output_read_back": r"""
+        SELECT count(*) FILTER (WHERE whole) AS n_read, count(*) FILTER (WHERE NOT whole) AS n_rejected,
+               CAST(sum(length(text)) FILTER (WHERE whole) AS BIGINT) AS n_chars
+        FROM (SELECT text, coalesce(NOT regexp_matches(text, '[|\n\r]'), FALSE) AS whole FROM documents)""",
+    "stream_progress": """
+        SELECT count(*) AS input_rows, CAST(0 AS BIGINT) AS dropped_rows FROM events""",
     "stream_parse": INPUT_SQL["parse_delimited"],
     "stream_several_outputs": """
         SELECT 'clicks' AS output, event_id, event_type, value

@@ -8,7 +8,8 @@ from pyspark.sql import types as T
 
 from panewise.functions.aggregates import Aggregate, check_types, one_step
 from panewise.functions.event_time import duration, from_instant, to_instant
-from panewise.operators.joins import equal, oriented
+from panewise.functions.names import quoted, resolve
+from panewise.operators.joins import equal, oriented, shared_names
 
 
 def with_watermark(df: DataFrame, ts: str, delay: int) -> DataFrame:
@@ -16,9 +17,18 @@ def with_watermark(df: DataFrame, ts: str, delay: int) -> DataFrame:
 
     Watermarks need instants, so a zone-less column is read as UTC.
     """
-    if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        df = df.withColumn(ts, to_instant(ts))
-    return df.withWatermark(ts, duration(delay))
+    if is_ntz(df, ts):
+        df = df.withColumn(ts, to_instant(quoted(ts)))
+    return df.withWatermark(resolve(df, ts), duration(delay))
+
+
+def is_ntz(df: DataFrame, ts: str) -> bool:
+    return isinstance(df.schema[ts].dataType, T.TimestampNTZType)
+
+
+def bound(instant: str, zoneless: bool) -> Column:
+    """An instant in the type of the input's time column."""
+    return from_instant(instant) if zoneless else F.col(instant)
 
 
 def stream_window_aggregate(
@@ -30,13 +40,14 @@ def stream_window_aggregate(
     keys: list[str],
     aggregates: dict[str, Aggregate],
 ) -> DataFrame:
-    """Window aggregate with bounds as zone-less timestamps, as in the batch form."""
+    """Window aggregate with bounds in the type of ``ts``, as in the batch form."""
     check_types(df, aggregates)
-    window = F.window(ts, duration(size), duration(slide or size)).alias("w")
+    window = F.window(resolve(df, ts), duration(size), duration(slide or size)).alias("w")
     out = with_watermark(df, ts, delay).groupBy(window, *keys).agg(*one_step(aggregates))
+    zoneless = is_ntz(df, ts)
     return out.select(
-        from_instant("w.start").alias("window_start"),
-        from_instant("w.end").alias("window_end"),
+        bound("w.start", zoneless).alias("window_start"),
+        bound("w.end", zoneless).alias("window_end"),
         *keys,
         *aggregates,
     )
@@ -53,50 +64,73 @@ def stream_join(
     delay: int,
     right_id: str,
     splits: int = 1,
+    left_id: str | None = None,
+    left_splits: int = 1,
 ) -> DataFrame:
     """Pairs with equal keys whose right row lies ``before`` s before to ``after`` s after
     the left row, each emitted once. Watermarks on both sides let old state go.
 
     Adaptive execution does not split stateful tasks, so the key is split by hand. Time
     blocks of ``before + after`` seconds join the equality: a left row goes to the one or
-    two blocks its partners can lie in, and a key's distant rows never meet. ``splits``
-    spreads the right rows of a key further, by a hash of their ``right_id``; each left
-    row goes to every split. Pass the smaller stream as ``left``.
+    two blocks its partners can lie in, and a key's distant rows never meet. So a left row
+    is stored at most twice and a right row once. For keys that are hot within one block,
+    ``splits`` spreads the right rows of a key by a hash of their ``right_id`` and
+    ``left_splits`` the left rows by ``left_id``; each row then goes to every split of the
+    other side. Pass the smaller stream as ``left``.
+
+    Times come out as instants. Rows without a time join nothing.
     """
-    shared = set(left.columns) & set(right.columns)
-    if shared:
-        raise ValueError(f"rename the columns of one side first: {sorted(shared)}")
+    shared_names(left, right)
     if not on:
         raise ValueError("a join needs at least one pair of columns")
-    if before < 0 or after < 0 or before + after == 0 or splits < 1:
+    if before < 0 or after < 0 or before + after == 0 or min(splits, left_splits) < 1:
         raise ValueError("before, after and splits must span something")
+    if left_splits > 1 and left_id is None:
+        raise ValueError("left_splits needs a left_id")
     keys = equal([oriented(left, right, pair) for pair in on])
     block = before + after
     lefts = with_watermark(left, left_ts, delay)
     rights = with_watermark(right, right_ts, delay)
+    left_time, right_time = resolve(left, left_ts), resolve(right, right_ts)
 
     def block_of(seconds: Column) -> Column:
         return F.floor(seconds / F.lit(block)).cast("bigint")
 
-    first = block_of(F.unix_seconds(left_ts) - before)
-    last = block_of(F.unix_seconds(left_ts) + after)
+    def part_of(column: str | None, df: DataFrame, parts: int) -> Column:
+        if parts == 1:
+            return F.lit(0)
+        return F.pmod(F.xxhash64(resolve(df, column)), F.lit(parts)).cast("int")
+
+    def every(parts: int) -> Column:
+        return F.sequence(F.lit(0), F.lit(parts - 1))
+
+    first = block_of(F.unix_seconds(left_time) - before)
+    last = block_of(F.unix_seconds(left_time) + after)
     lefts = lefts.withColumn("__block", F.explode(F.array_distinct(F.array(first, last))))
-    lefts = lefts.withColumn("__split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-    rights = rights.withColumn("__own", block_of(F.unix_seconds(right_ts))).withColumn(
-        "__part", F.pmod(F.xxhash64(right_id), F.lit(splits)).cast("int")
-    )
+    lefts = lefts.withColumn("__of_left", part_of(left_id, left, left_splits))
+    rights = rights.withColumn("__own", block_of(F.unix_seconds(right_time)))
+    rights = rights.withColumn("__of_right", part_of(right_id, right, splits))
+    if splits > 1:
+        lefts = lefts.withColumn("__for_right", F.explode(every(splits)))
+    else:
+        lefts = lefts.withColumn("__for_right", F.lit(0))
+    if left_splits > 1:
+        rights = rights.withColumn("__for_left", F.explode(every(left_splits)))
+    else:
+        rights = rights.withColumn("__for_left", F.lit(0))
     near = (
-        f"`{right_ts}` >= `{left_ts}` - INTERVAL '{int(before)}' SECOND AND "
-        f"`{right_ts}` <= `{left_ts}` + INTERVAL '{int(after)}' SECOND"
+        f"{right_time} >= {left_time} - INTERVAL '{int(before)}' SECOND AND "
+        f"{right_time} <= {left_time} + INTERVAL '{int(after)}' SECOND"
     )
     joined = lefts.join(
         rights,
         keys
         & (F.col("__block") == F.col("__own"))
-        & (F.col("__split") == F.col("__part"))
+        & (F.col("__for_right") == F.col("__of_right"))
+        & (F.col("__of_left") == F.col("__for_left"))
         & F.expr(near),
     )
-    return joined.drop("__block", "__own", "__split", "__part")
+    return joined.select(*[quoted(c) for c in (*left.columns, *right.columns)])
 
 
 def stream_window_join(
@@ -111,6 +145,8 @@ def stream_window_join(
     delay: int,
     right_id: str,
     splits: int = 1,
+    left_id: str | None = None,
+    left_splits: int = 1,
 ) -> DataFrame:
     """Two windowed streams joined: the streaming twin of the batch pane join.
 
@@ -122,12 +158,14 @@ def stream_window_join(
     # Rows in panes near enough are never further apart than these times.
     pairs = stream_join(
         left, right, on, left_ts, right_ts, right_panes * pane, left_panes * pane,
-        delay, right_id, splits,
+        delay, right_id, splits, left_id, left_splits,
     )
 
     def pane_of(ts: str) -> Column:
         return F.floor(F.unix_seconds(ts) / F.lit(pane)).cast("bigint")
 
+    zoneless = is_ntz(left, left_ts)
+    left_ts, right_ts = resolve(left, left_ts), resolve(right, right_ts)
     lefts, rights = F.col("__left_pane"), F.col("__right_pane")
     near = pairs.withColumns(
         {"__left_pane": pane_of(left_ts), "__right_pane": pane_of(right_ts)}
@@ -139,5 +177,8 @@ def stream_window_join(
     return (
         near.withColumn("__last", F.explode(ends))
         .withColumn("last_pane", last)
-        .select(from_instant("last_pane").alias("last_pane"), *left.columns, *right.columns)
+        .select(
+            bound("last_pane", zoneless).alias("last_pane"),
+            *[quoted(c) for c in (*left.columns, *right.columns)],
+        )
     )

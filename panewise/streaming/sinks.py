@@ -7,11 +7,13 @@ checkpoint folder goes on where the last run stopped.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import threading
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery, StreamingQueryListener
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -78,36 +80,65 @@ def several_outputs(
     return _start(df.writeStream.outputMode("append").foreachBatch(write), checkpoint, every)
 
 
-def print_batches(
-    df: DataFrame,
-    checkpoint: str,
-    rows: int = 20,
-    mode: str = "append",
-    every: str | None = None,
-) -> StreamingQuery:
-    """Show the first ``rows`` rows of every batch on the console, for a look at a query."""
-    writer = df.writeStream.outputMode(mode).format("console").option("numRows", rows)
-    return _start(writer.option("truncate", "false"), checkpoint, every)
+PROGRESS_SCHEMA = (
+    "query string, batch_id bigint, input_rows bigint, trigger_ms bigint, add_batch_ms bigint, "
+    "dropped_rows bigint"
+)
+
+
+class BatchLog(StreamingQueryListener):
+    """Appends one row per micro-batch of every query of a session to a Parquet folder.
+
+    Spark itself keeps the last batches only. ``dropped_rows`` are the rows later than the
+    watermark that stateful operators left out; aggregates count them after the map-side
+    combine, so several late rows of one group may count once.
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.running, self.idle = spark, path, set(), threading.Event()
+        self.idle.set()
+
+    def onQueryStarted(self, event) -> None:
+        self.running.add(str(event.runId))
+        self.idle.clear()
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        times, dropped = p.durationMs, sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+        row = (str(p.id), p.batchId, p.numInputRows, times.get("triggerExecution"), times.get("addBatch"), dropped)
+        self.spark.createDataFrame([row], PROGRESS_SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
 
+    def onQueryIdle(self, event) -> None:
+        pass
 
-PROGRESS_SCHEMA = "batch_id bigint, input_rows bigint, trigger_ms bigint, add_batch_ms bigint"
+    def onQueryTerminated(self, event) -> None:
+        self.running.discard(str(event.runId))
+        if not self.running:
+            self.idle.set()
 
 
-def progress(spark: SparkSession, query: StreamingQuery) -> DataFrame:
-    """Rows and milliseconds per micro-batch.
+@contextmanager
+def batch_log(spark: SparkSession, path: str, patience: float = 600.0) -> Iterator[None]:
+    """Log every micro-batch of the queries run inside to ``path``.
 
-    Spark keeps the last ``spark.sql.streaming.numRecentProgressUpdates`` batches.
+    Events arrive after their batch, so leaving waits for those of queries that ended.
     """
-    rows = [
-        (
-            p["batchId"],
-            p["numInputRows"],
-            p["durationMs"].get("triggerExecution"),
-            p["durationMs"].get("addBatch"),
-        )
-        for p in query.recentProgress
-    ]
-    return spark.createDataFrame(rows, PROGRESS_SCHEMA)
+    log = BatchLog(spark, path)
+    spark.streams.addListener(log)
+    try:
+        yield
+        if not spark.streams.active and not log.idle.wait(patience):
+            raise TimeoutError(f"the log {path} is not complete")
+    finally:
+        spark.streams.removeListener(log)
+
+
+def timings(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a batch log; a batch that ran again counts once, with its last times."""
+    rows = spark.read.schema(PROGRESS_SCHEMA).parquet(path)
+    values = [c for c in rows.columns if c not in ("query", "batch_id")]
+    newest = F.max_by(F.struct(*values), F.struct("input_rows", "trigger_ms")).alias("__v")
+    return rows.groupBy("query", "batch_id").agg(newest).select("query", "batch_id", "__v.*")
 
 
 # Fixed value: the batches left out of the mean while the query warms up.

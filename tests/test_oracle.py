@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from panewise.plans import all_queries, all_sql
 from tests.conftest import DATA
 
 TABLES = (
@@ -17,10 +18,7 @@ TYPES = {
     "string": "VARCHAR",
     "timestamp_ntz": "TIMESTAMP",
 }
-QUERIES = contract.queries()
-SQL = contract.oracle_sql()
-# Rows of a streaming query's progress cannot be told in SQL.
-ROWS_ONLY = {"stream_progress"}
+QUERIES, SQL = all_queries(), all_sql()
 MAY_BE_EMPTY = {"agg_global_empty"}
 
 
@@ -33,8 +31,8 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(QUERIES) - set(SQL) == ROWS_ONLY
-    assert set(SQL) <= set(QUERIES)
+    assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -53,10 +51,5 @@ def test_same_rows_and_types(spark, duck, name):
     assert got or name in MAY_BE_EMPTY
 
 
-def test_progress_has_rows(spark):
-    timings = QUERIES["stream_progress"](spark, DATA)
-    assert timings.count() > 0
-
-
 def test_entry(spark):
     assert contract.entry(spark).count() > 0

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from panewise.session import shared_folder
 from panewise.sources import slices
 from panewise.plans import inputs
-from tests.conftest import plan, rows
+from tests.conftest import final_plan, rows
 
 
 @pytest.fixture(scope="module")
@@ -18,9 +18,10 @@ def files(spark):
     return path
 
 
-@pytest.mark.parametrize("limit", [0, 100])
-def test_arrival_index(spark, files, limit, monkeypatch):
-    monkeypatch.setattr(slices, "MAX_BROADCAST_FILES", limit)
+@pytest.mark.parametrize("limit", ["-1", "10MB"])
+def test_arrival_index(spark, files, limit, conf):
+    conf("spark.sql.autoBroadcastJoinThreshold", limit)
+    conf("spark.sql.adaptive.autoBroadcastJoinThreshold", limit)
     df = slices.with_arrival_index(spark.read.parquet(files))
     assert df.columns == ["n", "part", "arrival"]
     assert df.count() == 5003
@@ -55,8 +56,21 @@ def test_time_slice(spark):
 
 
 def test_indexing_does_not_shuffle_rows(spark, sf):
-    """Only counts per file and per slice are exchanged."""
-    text = plan(inputs.QUERIES["count_slices_arrival"](spark, sf))
-    assert "BroadcastHashJoin" in text
+    """Only counts per file and per slice are exchanged once Spark knows how few they are."""
+    text = final_plan(inputs.QUERIES["count_slices_arrival"](spark, sf))
+    text = text[: text.index("== Initial Plan ==")]
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     assert "hashpartitioning(__file" in text and "partial_count" in text
-    assert text.count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("block", ["128MB", "2KB"])
+def test_line_index(spark, block, conf):
+    """Lines of three files, whether a file is one block or many."""
+    conf("spark.sql.files.maxPartitionBytes", block)
+    path = shared_folder(spark, "lines")
+    for first, last in ((0, 10), (10, 5000), (5000, 5003)):
+        lines = spark.range(first, last, 1, 1).select(F.concat(F.lit("line "), F.col("id")).alias("value"))
+        lines.write.text(f"{path}/{first:06}")
+    df = slices.with_line_index(spark.read.text([f"{path}/{n}" for n in ("000000", "000010", "005000")]))
+    assert df.count() == 5003
+    assert df.where(F.concat(F.lit("line "), F.col("arrival")) != F.col("value")).count() == 0

@@ -12,6 +12,7 @@ from panewise.operators.window_joins import window_join
 from panewise.operators.windows import window_aggregate
 from panewise.session import shared_folder
 from panewise.sources.delimited import declare_stream
+from panewise.sources.slices import replay_by_time
 from panewise.sources.tables import stream_table
 from panewise.streaming import sinks
 from panewise.streaming.queries import stream_join, stream_window_aggregate, stream_window_join
@@ -53,12 +54,14 @@ def test_window_aggregate_over_many_batches(spark, events, folder):
     out, checkpoint = places(spark, "w")
     stream = stream_table(spark, folder, "events", files_per_batch=1)
     sums = stream_window_aggregate(stream, "ts", 3 * HOUR, HOUR, HOUR, ["event_type"], FOUR)
-    query = sinks.upsert_parquet(sums, out, checkpoint)
+    with sinks.batch_log(spark, f"{out}-log"):
+        sinks.upsert_parquet(sums, out, checkpoint)
     want = rows(window_aggregate(events, "ts", 3 * HOUR, HOUR, ["event_type"], FOUR))
     assert rows(sinks.latest(spark, out, KEYS)) == want
-    timings = sinks.progress(spark, query)
+    timings = sinks.timings(spark, f"{out}-log")
     assert timings.agg(F.sum("input_rows")).collect()[0][0] == events.count()
     assert timings.where("input_rows > 0").count() == 5
+    assert timings.agg(F.sum("dropped_rows")).collect()[0][0] == 0
 
 
 def test_closed_windows_are_written_once(spark, events, folder):
@@ -213,12 +216,63 @@ def test_text_files_as_they_arrive(spark):
     assert rows(spark.read.parquet(out)) == [(4,), (6,)]
 
 
-def test_print_batches(spark, folder):
-    stream = stream_table(spark, folder, "events").select("event_id")
-    _, checkpoint = places(spark, "print")
-    query = sinks.print_batches(stream, checkpoint, rows=2)
-    assert "Console" in query.lastProgress["sink"]["description"]
-    assert sinks.progress(spark, query).agg(F.sum("input_rows")).collect()[0][0] > 0
+def test_log_keeps_every_batch(spark, events, conf):
+    """More batches than Spark itself remembers, and late rows among them."""
+    conf("spark.sql.streaming.numRecentProgressUpdates", "2")
+    source = shared_folder(spark, "many")
+    write_in_order(events, source, 7)
+    out, checkpoint = places(spark, "many-out")
+    with sinks.batch_log(spark, f"{out}-log"):
+        query = sinks.append_parquet(stream_table(spark, source, "events", 1), out, checkpoint)
+    assert len(query.recentProgress) <= 2
+    timings = sinks.timings(spark, f"{out}-log")
+    assert timings.where("input_rows > 0").count() == 7
+    assert timings.agg(F.sum("input_rows")).collect()[0][0] == events.count()
+
+
+def test_log_tells_of_late_rows(spark):
+    base = datetime(2024, 1, 1)
+    source = shared_folder(spark, "dropped")
+    for seconds in ([10, 4000], [4005], [5, 4010], [9000]):
+        data = [(base + timedelta(seconds=s), s) for s in seconds]
+        spark.createDataFrame(data, "ts timestamp_ntz, v int").coalesce(1).write.mode("append").parquet(
+            f"{source}/late.parquet"
+        )
+    stream = stream_table(spark, source, "late", files_per_batch=1)
+    sums = stream_window_aggregate(stream, "ts", 60, None, 60, [], {"n": count("v")})
+    out, checkpoint = places(spark, "dropped-out")
+    with sinks.batch_log(spark, f"{out}-log"):
+        sinks.append_parquet(sums, out, checkpoint)
+    assert sinks.timings(spark, f"{out}-log").agg(F.sum("dropped_rows")).collect()[0][0] == 1
+
+
+@pytest.mark.parametrize("slices, files", [(1, 1), (4, 1), (3, 2)])
+def test_replay(spark, events, slices, files):
+    path = shared_folder(spark, "replayed") + "/events.parquet"
+    nulls = events.limit(3).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    replay_by_time(events.unionByName(nulls), "ts", path, slices, files)
+    assert rows(spark.read.parquet(path)) == rows(events.unionByName(nulls))
+    assert len(spark.read.parquet(path).inputFiles()) <= slices * files
+
+
+def test_hot_left_key_is_spread(spark, folder):
+    """Left rows go to left splits, right rows to all of them."""
+    clicks, purchases = two_sides(spark, folder)
+    out, checkpoint = places(spark, "spread")
+    pairs = stream_join(
+        clicks, purchases, [("user_id", "buyer_id")], "click_ts", "purchase_ts", 20 * HOUR, 20 * HOUR,
+        HOUR, "purchase_id", 2, "click_id", 3,
+    )
+    sinks.append_parquet(pairs, out, checkpoint)
+    plain, checkpoint = places(spark, "plain")
+    clicks, purchases = two_sides(spark, folder)
+    pairs = stream_join(
+        clicks, purchases, [("user_id", "buyer_id")], "click_ts", "purchase_ts", 20 * HOUR, 20 * HOUR,
+        HOUR, "purchase_id",
+    )
+    sinks.append_parquet(pairs, plain, checkpoint)
+    want = rows(spark.read.parquet(plain))
+    assert rows(spark.read.parquet(out)) == want and want
 
 
 def test_running_trigger(spark, folder):
@@ -235,7 +289,7 @@ def test_running_trigger(spark, folder):
 
 def test_mean_after_warm_up(spark):
     timings = spark.createDataFrame(
-        [(i, 1, 1000 if i < 11 else 10 + i, 5) for i in range(14)], sinks.PROGRESS_SCHEMA
+        [("q", i, 1, 1000 if i < 11 else 10 + i, 5, 0) for i in range(14)], sinks.PROGRESS_SCHEMA
     )
     assert rows(sinks.mean_batch_ms(timings)) == [(3, 22.0)]
 

@@ -116,12 +116,12 @@ def test_split_happens_once(spark):
 def test_write_and_declare(spark):
     path = shared_folder(spark, "text")
     df = spark.createDataFrame(
-        [(1, "a", 2.5), (2, None, -1.0), (3, "", 1e20)], "n int, s string, d double"
+        [(1, "a", 2.5), (2, "b c", -1.0), (3, "", 1e20)], "n int, s string, d double"
     )
     write_delimited(df, path, ["n", "s", "d"], "|")
     declare(spark, "pw_written", "n int, s string, d double", path, "|")
     got = rows(spark.sql("SELECT * FROM pw_written"))
-    assert got == [(1, "a", 2.5), (2, "", -1.0), (3, "", 1e20)]
+    assert got == [(1, "a", 2.5), (2, "b c", -1.0), (3, "", 1e20)]
 
 
 @pytest.mark.parametrize(
@@ -148,3 +148,18 @@ def test_addresses(spark, field, expected):
 def test_address_lines_keep_their_blanks(spark):
     df = lines(spark, "", "  ", "a  b", " a b  ", "a")
     assert [r.value for r in split_addresses(df).collect()] == ["", "", "a  b", " a b", "a"]
+
+
+def test_written_lines_read_back_or_are_refused(spark):
+    data = [
+        (1, "plain", "x"), (2, "a|b", "x"), (3, "two\nlines", "x"), (4, "cr\r", "x"), (5, "", "x"),
+        (6, "last", ""), (7, None, "x"), (8, "blank at the end", "x "), (9, " kept ", "x"),
+    ]
+    df = spark.createDataFrame(data, "n int, s string, e string")
+    path = shared_folder(spark, "back")
+    write_delimited(df, f"{path}/lines", df.columns, "|", rejects=f"{path}/rejects")
+    got = declare(spark, "pw_back", "n int, s string, e string", f"{path}/lines", "|")
+    assert rows(got) == [(1, "plain", "x"), (5, "", "x"), (9, " kept ", "x")]
+    assert rows(spark.read.parquet(f"{path}/rejects").select("n")) == [(n,) for n in (2, 3, 4, 6, 7, 8)]
+    with pytest.raises(Exception, match="would not read back"):
+        write_delimited(df, f"{path}/refused", df.columns, "|")
