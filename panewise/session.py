@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -66,3 +68,31 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = _local_folder(spark.sparkContext.applicationId)
     return f"{base.rstrip('/')}/panewise/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the Python workers of ``spark``.
+
+    Nothing is done where the workers find it by themselves: when its folder is on
+    ``PYTHONPATH`` or, in a local session, the working directory. Otherwise Spark sends a
+    zip file of the package to every executor, once per application.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+    paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if root in paths or local and os.getcwd() == root:
+        return
+    spark.sparkContext.addPyFile(_package_zip(root, spark.sparkContext.applicationId))
+
+
+@cache
+def _package_zip(root: str, application: str) -> str:
+    """A zip file on the driver, from which Spark serves it."""
+    path = os.path.join(tempfile.mkdtemp(prefix="run-"), "panewise_package.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(os.path.join(root, "panewise")):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, root))
+    return path
