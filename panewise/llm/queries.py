@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panewise.llm import bitslice, lines, mixing, neighbours, packing, quality, simhash, substrings, suffixes, token_files
+from panewise.llm.tables import shipped
 from panewise.llm.tokens import default_path
 from panewise.session import shared_folder
 from panewise.sources.tables import table
@@ -193,6 +194,7 @@ QUERIES = {
     "op9_block_matrix_neighbours": op9_block_matrix_neighbours,
     "op10_radix_suffixes": op10_radix_suffixes,
 }
+QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 SQL = {
     "op4_seed_and_extend": SQL_OP4,
     "op5_bit_sliced_top_k": SQL_OP5,

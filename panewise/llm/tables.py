@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panewise.session import shared_folder
+from panewise.session import shared_folder, ship_package
 
 
 def staged(df: DataFrame, purpose: str) -> DataFrame:
@@ -31,3 +32,14 @@ def is_finite_vector(column: str):
 def pick(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Only the named columns, so that no other column can clash with an inner name."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def shipped(query: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """``query``, whose first argument is a session, with this package on its workers."""
+
+    @wraps(query)
+    def run(spark, *args):
+        ship_package(spark)
+        return query(spark, *args)
+
+    return run
