@@ -207,7 +207,25 @@ def stream_progress(spark, sf):
     )
 
 
+def stream_late_rows(spark, sf):
+    """Slices that are not in the order of time: rows counted and rows reported as late
+    are all rows. Every row is a group of its own, so that each late one counts."""
+    path = shared_folder(spark, "late")
+    events = table(spark, sf, "events").withColumn("place", F.pmod(F.xxhash64("event_id"), F.lit(SLICES)))
+    replay_by_count(events, "place", 1, f"{path}/in/events.parquet")
+    stream = stream_table(spark, f"{path}/in", "events", files_per_batch=1)
+    counts = stream_window_aggregate(stream, "ts", HOUR, None, HOUR, ["event_id"], {"n": count("ts")})
+    with batch_log(spark, f"{path}/log"):
+        upsert_parquet(counts, f"{path}/rows", f"{path}/checkpoint")
+    counted = latest(spark, f"{path}/rows", ["window_start", "event_id"])
+    rows = counted.select("n").unionByName(
+        timings(spark, f"{path}/log").select(F.col("dropped_rows").alias("n"))
+    )
+    return rows.agg(F.sum("n").alias("n_rows"))
+
+
 QUERIES = {
+    "stream_late_rows": stream_late_rows,
     "output_delimited": output_delimited,
     "stream_window_agg": stream_window_agg,
     "stream_window_closed": stream_window_closed,
@@ -228,6 +246,7 @@ _SUMS = f"""
     FROM ({windowed(3, 1)}) GROUP BY window_start, window_end, event_type"""
 
 SQL = {
+    "stream_late_rows": "SELECT count(*) AS n_rows FROM events",
     "output_delimited": """
         SELECT concat_ws('|', c_custkey, c_name, c_mktsegment, c_nationkey) AS line
         FROM customer""",
