@@ -38,8 +38,8 @@ def test_lines(stages):
             first.setdefault(line, doc_id)
     for doc_id, text in before.items():
         kept = after[doc_id].split("\n")
-        own = [x for x in text.split("\n") if first[x] == doc_id and x.strip()]
-        assert [x for x in kept if first[x] == doc_id and x.strip()] == own
+        own = [x for x in text.split("\n") if x.strip() and first[x] == doc_id]
+        assert [x for x in kept if x.strip() and first[x] == doc_id] == own
     assert all(r.n_chars == len(r.text) for r in stages[2].collect())
     assert sum(map(len, after.values())) < sum(map(len, before.values()))
 
