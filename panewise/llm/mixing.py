@@ -17,7 +17,7 @@ from panewise.llm.tables import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Documents that one range of keys of one source may hold on average.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 
 
 def word_count(column: str):
