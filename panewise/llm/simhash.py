@@ -25,7 +25,7 @@ from panewise.llm.tables import staged
 
 SEED = 42
 #: Shingle hashes counted at once, entries sent at once, and pairs compared at once.
-HASHES_AT_ONCE, ENTRIES_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 21, 1 << 21
+HASHES_AT_ONCE, ENTRIES_AT_ONCE, PAIRS_AT_ONCE = 1 << 16, 1 << 19, 1 << 20
 #: Distinct fingerprints per cell that the code is chosen for, and per bucket of cells.
 CELL, BUCKET = 16, 8_000
 LEAST_BUCKETS = 64
@@ -149,7 +149,8 @@ def links(prints: DataFrame, threshold: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
-        size, per = 0, 2 * len(replicas(np.arange(1, dtype=np.uint64), code, threshold)[0])
+        size, typical = 0, mix(np.arange(1, 257, dtype=np.uint64))
+        per = len(replicas(typical, code, threshold)[0]) / len(typical)
 
         def flush() -> pa.RecordBatch:
             anchors, found, home = replicas(np.concatenate(kept).view(np.uint64), code, threshold)
@@ -165,8 +166,8 @@ def links(prints: DataFrame, threshold: int) -> DataFrame:
 
         for batch in batches:
             column = batch["fingerprint"].to_numpy()
-            for i in range(0, len(column), 8192):
-                kept.append(column[i : i + 8192])
+            for i in range(0, len(column), 1024):
+                kept.append(column[i : i + 1024])
                 size += len(kept[-1])
                 if size * per > ENTRIES_AT_ONCE:
                     yield flush()
