@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
 #: Bytes of text per bucket.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 16 << 20
 LEAST_BUCKETS = 64
 #: Stands for a null id: larger than every other id and not smaller than itself.
 NO_ID = np.iinfo(np.int64).max
