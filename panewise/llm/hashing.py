@@ -21,6 +21,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 #: One 64-bit value per byte value.
 BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+#: Other values, for a second hash that is independent of the first.
+OTHER_VALUES = mix(np.arange(1001, 1257, dtype=np.uint64) * BASE)
 
 
 def grams(tokens: np.ndarray, size: int) -> np.ndarray:
@@ -59,8 +61,8 @@ def leftmost_min(values: np.ndarray, size: int) -> np.ndarray:
     return (v & low).astype(np.int64)
 
 
-def word_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each word ``buffer[start:end]``."""
+def word_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """64-bit hash of each word ``buffer[start:end]``; other byte values give another hash."""
     data, lengths = np.frombuffer(buffer, np.uint8), ends - starts
     h = lengths.astype(np.uint64)
     live = np.flatnonzero(lengths <= LONG_WORD)
@@ -69,10 +71,10 @@ def word_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
         more = length > k
         if not more.all():
             live, at, length = live[more], at[more], length[more]
-        h[live] = h[live] * BASE + BYTE_VALUES[data[at + k]]
+        h[live] = h[live] * BASE + values[data[at + k]]
         k += 1
     for i in np.flatnonzero(lengths > LONG_WORD):
-        word = BYTE_VALUES[data[starts[i] : ends[i]]]
+        word = values[data[starts[i] : ends[i]]]
         while len(word) > 1:  # folds blocks, so that no array grows beyond the word
             word = np.array([grams(mix(b), len(b))[0] for b in np.array_split(word, -(-len(word) // 4096))])
         h[i : i + 1] = h[i : i + 1] * BASE + word[:1]

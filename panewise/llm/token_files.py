@@ -23,7 +23,8 @@ from panewise.llm.tokens import encoder, packed, unpacked
 
 #: Ids of a segment (one document may exceed it), and bytes of text per shard.
 SEGMENT_IDS, SHARD_BYTES = 1 << 20, 16 << 20
-SAMPLE = 64
+#: Documents encoded at once; boundaries per sampled place.
+ROWS_AT_ONCE, SAMPLE = 512, 64
 SEGMENT = (
     "shard int, segment int, n_docs int, n_ids long, ids binary, doc_ids binary, known binary, "
     "low_bits int, low binary, high binary, samples binary"
@@ -116,13 +117,14 @@ def write_tokens(
             return pa.record_batch([pa.array([v], t) for v, t in zip(values, types)], names=names)
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                doc_ids.append(doc_id.as_py())
-                parts.append(np.append(encode.ids(text.as_py()), np.uint32(end_id)))
-                held += len(parts[-1])
-                if held >= SEGMENT_IDS:
-                    yield flush()
-                    doc_ids, parts, held, segment = [], [], 0, segment + 1
+            for some in (batch.slice(i, ROWS_AT_ONCE) for i in range(0, batch.num_rows, ROWS_AT_ONCE)):
+                for doc_id, ids in zip(some["doc_id"].to_pylist(), encode.batch(some["text"].to_pylist())):
+                    doc_ids.append(doc_id)
+                    parts.append(np.append(ids, np.uint32(end_id)))
+                    held += len(parts[-1])
+                    if held >= SEGMENT_IDS:
+                        yield flush()
+                        doc_ids, parts, held, segment = [], [], 0, segment + 1
         if parts:
             yield flush()
 

@@ -52,6 +52,23 @@ def test_pieces_encode_like_whole_texts(name, monkeypatch):
     texts = [t for _, t, _ in documents() if t] + ODD
     for text in texts + texts:
         assert encoder.ids(text).tolist() == encoder.whole(text), text
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 10_000)
+    for size in (1, 1 << 10, 1 << 20):
+        monkeypatch.setattr(tokens, "TEXT_BYTES", size)
+        for _ in range(2):
+            got = encoder.batch([None, *texts, ""])
+            assert [g.tolist() for g in got] == [[], *map(encoder.whole, texts), []]
+
+
+def test_pieces_that_share_a_hash_are_encoded_whole(monkeypatch):
+    from panewise.llm import tokens
+
+    encoder = Encoder(default_path(BYTES))
+    same = lambda buffer, starts, ends, values=None: np.zeros(len(starts), np.uint64) + (
+        np.uint64(0) if values is None else starts.astype(np.uint64)
+    )
+    monkeypatch.setattr(tokens, "word_hashes", same)
+    assert encoder.ids("one two three").tolist() == encoder.whole("one two three")
     assert encoder.ids(None).tolist() == encoder.ids("").tolist() == []
 
 
