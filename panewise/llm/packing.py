@@ -23,17 +23,26 @@ from panewise.llm.tokens import encoder, packed, unpacked
 
 #: Documents of a source that one range of keys holds on average; rounds of one bucket.
 RANGE_ROWS, BUCKET_ROUNDS = 1_000, 512
+#: Documents encoded or cut before their rows go back to Spark.
+ROWS_AT_ONCE = 512
 PIECE = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``ROWS_AT_ONCE``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, columns: tuple[str, str, str]) -> DataFrame:
     """uid, doc_id, source, n_tokens, ids of every row, written once."""
     doc_id, text, source = (F.col(f"`{c}`") for c in columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
-        for batch in batches:
-            rows = [np.append(encode.ids(t.as_py()), np.uint32(end_id)) for t in batch["text"]]
+        for batch in small(batches):
+            rows = [np.append(ids, np.uint32(end_id)) for ids in encode.batch(batch["text"].to_pylist())]
             yield pa.record_batch(
                 [
                     batch["doc_id"],
@@ -118,7 +127,7 @@ def pack(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for doc_id, data, position in zip(*(batch[c].to_pylist() for c in ("doc_id", "ids", "position"))):
                 ids = unpacked(data)
