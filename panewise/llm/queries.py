@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewise.llm import bitslice, lines, mixing, neighbours, packing, quality, simhash, substrings, suffixes, token_files
+from panewise.llm import (
+    bitslice,
+    language,
+    lines,
+    mixing,
+    negatives,
+    neighbours,
+    packing,
+    quality,
+    ranking,
+    simhash,
+    substrings,
+    suffixes,
+    token_files,
+)
 from panewise.llm.tables import shipped
 from panewise.llm.tokens import default_path
 from panewise.session import shared_folder
@@ -73,6 +87,20 @@ def op10_radix_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op12_norm_bucket_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_threshold_join_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.pmod("vec_id", F.lit(7)) == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return negatives.mine(rows, every(rows, "vec_id", 50))
+
+
 SQL_OP4 = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -182,6 +210,71 @@ SELECT doc_id, source, size, source_size, target,
 FROM placed
 """
 
+SQL_OP12 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w, row_number() OVER () AS place
+  FROM documents
+), sized AS (
+  SELECT doc_id, place, w, CAST(len(w) AS BIGINT) AS n FROM words WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sized
+), texts AS (
+  SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id
+), asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM texts
+), counted AS (
+  SELECT place, term, count(*) AS tf FROM (SELECT place, unnest(w) AS term FROM sized)
+  WHERE term IN (SELECT term FROM asked) GROUP BY place, term
+), weighted AS (
+  SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM counted, totals GROUP BY term
+), lengths AS (
+  SELECT place, doc_id, 100 - 50 + ((50 * n * docs) // terms) AS m FROM sized, totals
+), impacts AS (
+  SELECT place, doc_id, term, weight * ((1000000000 * tf) // (1000 * tf + 20 * m)) AS part
+  FROM counted JOIN weighted USING (term) JOIN lengths USING (place)
+), scored AS (
+  SELECT item_id, place, any_value(doc_id) AS doc_id, CAST(sum(part) AS BIGINT) AS score
+  FROM asked JOIN impacts USING (term) GROUP BY item_id, place
+), ranked AS (
+  SELECT item_id, doc_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank
+  FROM scored WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
+SQL_OP13 = """
+WITH usable AS (
+  SELECT vec_id, embedding, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), least AS (
+  SELECT vec_id, min({'v': embedding, 'l': label}) AS s FROM usable GROUP BY vec_id
+), ints AS (
+  SELECT vec_id, s.l AS label, list_transform(s.v, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM least
+), scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same,
+         CAST(list_sum(list_transform(range(1, least(len(a.v), len(b.v)) + 1), lambda i: a.v[i] * b.v[i])) AS BIGINT) AS score
+  FROM ints a JOIN ints b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), pairs AS (
+  SELECT anchor_id, positive_id, positive_score, n.vec_id AS negative_id, n.score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positives JOIN scored n USING (anchor_id)
+  WHERE NOT n.same AND 50 * positive_score <= 100 * n.score AND 100 * n.score <= 95 * positive_score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM pairs WHERE rank <= 3
+"""
+
 QUERIES = {
     "op1_byte_cnn_quality": op1_byte_cnn_quality,
     "op2_covering_simhash": op2_covering_simhash,
@@ -193,6 +286,9 @@ QUERIES = {
     "op8_round_robin_packing": op8_round_robin_packing,
     "op9_block_matrix_neighbours": op9_block_matrix_neighbours,
     "op10_radix_suffixes": op10_radix_suffixes,
+    "op11_byte_cnn_language": op11_byte_cnn_language,
+    "op12_norm_bucket_ranking": op12_norm_bucket_ranking,
+    "op13_threshold_join_negatives": op13_threshold_join_negatives,
 }
 QUERIES = {name: shipped(query) for name, query in QUERIES.items()}
 SQL = {
@@ -200,4 +296,6 @@ SQL = {
     "op5_bit_sliced_top_k": SQL_OP5,
     "op6_mix_sources": SQL_OP6,
     "op10_radix_suffixes": SQL_OP10,
+    "op12_norm_bucket_ranking": SQL_OP12,
+    "op13_threshold_join_negatives": SQL_OP13,
 }

@@ -1,0 +1,127 @@
+"""Language identification: gradients, whole texts, held-out accuracy, odd rows."""
+
+import zlib
+
+import numpy as np
+import pytest
+
+from panewise.llm import language
+
+SYLLABLES = {"aa": ["the", "ing", "ow"], "bb": ["ich", "ung", "ö"], "cc": ["que", "é", "aux"]}
+
+
+def text_of(lang, rng, words=60):
+    return " ".join("".join(rng.choice(SYLLABLES[lang], rng.integers(1, 4))) for _ in range(words))
+
+
+def samples(n=300, seed=1):
+    rng, names = np.random.default_rng(seed), sorted(SYLLABLES)
+    return [(i, text_of(names[i % 3], rng, int(rng.integers(3, 200))), names[i % 3]) for i in range(n)]
+
+
+def test_gradients():
+    rng = np.random.default_rng(2)
+    windows = rng.integers(0, 257, (6, language.SPAN)).astype(np.int16)
+    labels = np.array([0, 1, 2, 0, 1, 2])
+    w = language.fresh(3, 5)
+    for name in ("embed", "filters", "filter_bias", "out", "out_bias"):
+        setattr(w, name, getattr(w, name).astype(np.float64))
+    w.filter_bias += rng.standard_normal(len(w.filter_bias)) / 10
+
+    def loss():
+        return -np.log(language.softmax(language.logits(w, windows))[np.arange(6), labels]).mean()
+
+    found = language.gradients(w, windows, labels)
+    for a, d in zip(w.all(), found):
+        for place in rng.choice(a.size, min(15, a.size), replace=False):
+            at, step = np.unravel_index(place, a.shape), 1e-6
+            if a is w.embed and at[0] == language.PAD or a is w.filters and not language.shape_mask()[at]:
+                assert d[at] == 0
+                continue
+            before = a[at]
+            a[at] = before + step
+            up = loss()
+            a[at] = before - step
+            down = loss()
+            a[at] = before
+            assert d[at] == pytest.approx((up - down) / (2 * step), rel=1e-3, abs=1e-7)
+
+
+def test_windows_see_every_place_once():
+    for n in (0, 1, language.PLACES, language.PLACES + 1, 3 * language.PLACES - 2):
+        data = (np.arange(n) % 251 + 1).astype(np.uint8).tobytes()
+        windows, sizes = language.windows_of(data, 0, language.window_count(n))
+        assert sizes.sum() == max(1, n) and windows.shape == (len(sizes), language.SPAN)
+        seen = np.concatenate([w[:s] for w, s in zip(windows, sizes)])[:n]
+        assert (seen == language.FOLD[np.frombuffer(data, np.uint8)]).all()
+
+
+def test_logits_do_not_depend_on_batches(monkeypatch):
+    w = language.fresh(4)
+    texts = [t.encode() for _, t, _ in samples(9)] + [b"", b"x", b"long words " * 900]
+    together = language.text_logits(w, texts)
+    monkeypatch.setattr(language, "WINDOWS_AT_ONCE", 3)
+    assert language.text_logits(w, texts) == pytest.approx(together, abs=1e-5)
+    alone = np.concatenate([language.text_logits(w, [t]) for t in texts])
+    assert alone == pytest.approx(together, abs=1e-5)
+
+
+def test_end_of_a_long_text_counts():
+    w = language.fresh(4)
+    body = b"plain words here " * 3000
+    assert (language.text_logits(w, [body]) != language.text_logits(w, [body + b"\xc3\xa9\xc3\xbc" * 300])).any()
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    rows = samples()
+    docs = [(i, t, lang, 1, "x") for i, t, lang in rows]
+    docs += [(None, rows[0][1], "aa", 1, "x"), (900, None, "aa", 1, "x"), (901, "", "bb", 1, "x"), (902, "12 3!", "cc", 1, "x")]
+    docs += [(903, rows[1][1] * 400, None, 1, "x"), (5, rows[5][1], "cc", 1, "x"), (904, rows[2][1], "aa" , 1, "x")]
+    schema = "doc_id long, text string, lang string, held_out int, lang_pred string"
+    return rows, language.identify(spark.createDataFrame(docs, schema)).collect()
+
+
+def test_held_out_accuracy(found):
+    rows, got = found
+    by_id = {r.doc_id: r for r in got}
+    out = [by_id[i].lang_pred == lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert len(out) > 60 and np.mean(out) > 0.95
+
+
+def test_rows(found):
+    rows, got = found
+    assert len(got) == len(rows) + 7
+    for r in got:
+        assert 0 <= r.score <= 1 and r.lang_pred in ("aa", "bb", "cc", "und")
+        assert r.held_out == (r.doc_id is None or zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+    by_id = {r.doc_id: (r.lang_pred, r.score) for r in got}
+    assert by_id[900] == by_id[901] == by_id[902] == ("und", 0.0)
+    assert by_id[903][0] == "bb" and by_id[904][0] == "cc"
+    assert len({(r.lang_pred, round(r.score, 6)) for r in got if r.doc_id == 5}) == 1
+
+
+def test_without_labels(spark):
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame([(i, "words" if i else None, None) for i in range(5)], schema)
+    assert {(r.lang_pred, r.score) for r in language.identify(docs).collect()} == {("und", 0.0)}
+    one = spark.createDataFrame([(i, "words" if i else "7", "zz") for i in range(9)], schema)
+    got = {(r.lang_pred, r.score) for r in language.identify(one).collect()}
+    assert got == {("zz", 1.0), ("und", 0.0)}
+    assert language.identify(docs.limit(0)).collect() == []
+
+
+def test_rare_language_is_learned(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, text_of("aa", rng), "aa") for i in range(400)] + [(1000 + i, text_of("cc", rng), "cc") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert language.fit(docs).languages == ["aa", "cc"]
+
+
+def test_registered_language(spark, sf):
+    from panewise.llm.queries import QUERIES
+
+    got = QUERIES["op11_byte_cnn_language"](spark, sf).collect()
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert len(got) == len(lang)
+    assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.95
