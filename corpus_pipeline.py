@@ -10,14 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panewise.llm import jaccard, lines, mixing, packing, quality
+from panewise.llm import lines, mixing, packing, quality, simhash
 from panewise.llm.tables import shipped, staged
 from panewise.llm.tokens import default_path
 from panewise.sources.tables import table
 
-#: Near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of 0.8
-#: or more. No number of bits stands for that; fingerprints at four bits are what a test compares.
-SHINGLE, THRESHOLD = 5, 4
+#: Near-duplicates: fingerprints of three-word shingles that differ in two bits at most.
+SHINGLE, THRESHOLD = 3, 2
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +39,11 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group, null ids last.
 
-    Of rows with equal ids the text with the smaller hash stays, of equal rows any one.
+    Groups are those of SimHash: fingerprints within ``THRESHOLD`` bits link, and texts
+    without words have one fingerprint. Of rows with equal ids the text with the smaller hash
+    stays, of equal rows any one. An empty table stays empty.
     """
-    groups = staged(jaccard.near_groups(docs, SHINGLE), "groups")
+    groups = staged(simhash.near_groups(docs, SHINGLE, THRESHOLD), "groups")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = groups.groupBy("root").agg(F.min(order).alias("first"))
     chosen = staged(first.select("first.doc_id", "first.text_hash").distinct(), "groups")
