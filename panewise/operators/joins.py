@@ -119,10 +119,15 @@ def _hot_keys(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]], s
         return df.where(known).select(F.lit(side).alias("__side"), *named)
 
     both = keys(left, [a for a, _ in pairs], "left").unionByName(keys(right, [b for _, b in pairs], "right"))
-    rows = {r["__side"]: r["count"] for r in both.groupBy("__side").count().collect()}
-    counts = both.groupBy("__side", *names).agg(F.count("*").alias("__n"))
-    top = counts.orderBy(F.desc("__n"), "__side", *names).limit(int(2 / share) + 2).collect()
-    return {tuple(r[n] for n in names) for r in top if r["__n"] > share * rows[r["__side"]]}
+    # the rows of a side and of its keys in one pass; no key has more rows than its side, so the
+    # two sides come first
+    counts = both.groupingSets([["__side"], ["__side", *names]], "__side", *names).agg(
+        F.count("*").alias("__n"), F.grouping_id().alias("__all")
+    )
+    order = [F.desc("__n"), F.desc("__all"), "__side", *names]
+    top = counts.orderBy(*order).limit(int(2 / share) + 4).collect()
+    rows = {r["__side"]: r["__n"] for r in top if r["__all"]}
+    return {tuple(r[n] for n in names) for r in top if not r["__all"] and r["__n"] > share * rows[r["__side"]]}
 
 
 def _is_one_of(keys: list[str], values: set[tuple]) -> Column:

@@ -9,7 +9,13 @@ from panewise.functions.names import qualified
 from panewise.operators.filters import where
 from panewise.operators.grouping import summarise
 from panewise.operators.joins import join
-from panewise.operators.selectivity import join_selectivity, product_size, rank_edges
+from panewise.operators.selectivity import (
+    edge_selectivities,
+    join_selectivity,
+    product_size,
+    rank_edges,
+    window_selectivity,
+)
 from panewise.operators.window_joins import pane_join, window_join
 from panewise.plans.relational import exact_sum
 from panewise.sources.tables import table
@@ -189,16 +195,18 @@ def join_edge_ranking(spark, sf):
     names = ("lineitem", "orders", "part", "supplier", "customer")
     tables = {name: table(spark, sf, name) for name in names}
     edges = {
-        "lineitem-orders": ("l_orderkey", "o_orderkey"),
-        "lineitem-part": ("l_partkey", "p_partkey"),
-        "lineitem-supplier": ("l_suppkey", "s_suppkey"),
-        "orders-customer": ("o_custkey", "c_custkey"),
+        "lineitem-orders": ("lineitem", "l_orderkey", "orders", "o_orderkey"),
+        "lineitem-part": ("lineitem", "l_partkey", "part", "p_partkey"),
+        "lineitem-supplier": ("lineitem", "l_suppkey", "supplier", "s_suppkey"),
+        "orders-customer": ("orders", "o_custkey", "customer", "c_custkey"),
     }
-    profiles = {}
-    for edge, columns in edges.items():
-        left, right = edge.split("-")
-        profiles[edge] = join_selectivity(tables[left], tables[right], [columns])
-    return rank_edges(profiles)
+    return rank_edges(edge_selectivities(tables, edges))
+
+
+def window_selectivity_panes(spark, sf):
+    """How selective the join of the last 24 panes of clicks with the last 3 of purchases is."""
+    sides = _clicks(spark, sf), _purchases(spark, sf)
+    return window_selectivity(*sides, [("user_id", "buyer_id")], "click_ts", "purchase_ts", HOUR, 24, 3)
 
 
 def cross_product_size(spark, sf):
@@ -225,6 +233,7 @@ QUERIES = {
     "window_join_panes_asym": windows_meet(pane_join, 24, 3),
     "join_selectivity": _orders_customer,
     "join_edge_ranking": join_edge_ranking,
+    "window_selectivity": window_selectivity_panes,
     "cross_product_size": cross_product_size,
 }
 
@@ -280,7 +289,19 @@ _EDGES = " UNION ALL ".join(
     )
 )
 
+_KEPT = """
+    SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') + to_hours(k) AS last_pane, user_id
+    FROM events, range({panes}) AS steps(k) WHERE event_type = '{kind}'"""
+
 SQL = {
+    "window_selectivity": f"""
+        WITH l AS ({_KEPT.format(panes=24, kind='click')}), r AS ({_KEPT.format(panes=3, kind='purchase')}),
+        lefts AS (SELECT last_pane, count(*) AS left_rows FROM l GROUP BY last_pane),
+        rights AS (SELECT last_pane, count(*) AS right_rows FROM r GROUP BY last_pane),
+        pairs AS (SELECT last_pane, CAST(count(*) AS DOUBLE) AS n FROM l JOIN r USING (last_pane, user_id) GROUP BY last_pane)
+        SELECT last_pane, left_rows, right_rows, coalesce(n, 0) AS joined_rows,
+               coalesce(n, 0) / (CAST(left_rows AS DOUBLE) * right_rows) AS selectivity
+        FROM lefts JOIN rights USING (last_pane) LEFT JOIN pairs USING (last_pane)""",
     "join_left_shared": """
         SELECT CAST(c.event_id AS VARCHAR) AS click_id,
                coalesce(CAST(p.event_id AS VARCHAR), 'none') AS purchase_id

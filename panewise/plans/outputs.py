@@ -6,6 +6,8 @@ through the driver.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import functions as F
 
 from panewise.functions.aggregates import count, highest, total
@@ -46,11 +48,17 @@ def output_delimited(spark, sf):
     return lines.withColumnRenamed("value", "line")
 
 
+@cache
+def _events_in_slices(spark, sf):
+    """Written once by a session for each table; a stored table does not change."""
+    folder = shared_folder(spark, "replay")
+    return folder, replay_by_time(table(spark, sf, "events"), "ts", f"{folder}/events.parquet", SLICES)
+
+
 def replayed_events(spark, sf):
     """The table as a stream of several micro-batches in the order of event time."""
-    folder = shared_folder(spark, "replay")
-    replay_by_time(table(spark, sf, "events"), "ts", f"{folder}/events.parquet", SLICES)
-    return lambda: stream_table(spark, folder, "events", files_per_batch=1)
+    folder, files = _events_in_slices(spark, sf)
+    return lambda: stream_table(spark, folder, "events", files_per_batch=files)
 
 
 def output_read_back(spark, sf):
@@ -161,8 +169,8 @@ def stream_count_slices(spark, sf):
     """A table replayed in slices of 2,500 records; every micro-batch gives its own counts."""
     path = shared_folder(spark, "records")
     events = with_arrival_index(table(spark, sf, "events").select("event_id", "value"))
-    replay_by_count(events, "arrival", 2500, f"{path}/in/events.parquet")
-    stream = stream_table(spark, f"{path}/in", "events", files_per_batch=1)
+    files = replay_by_count(events, "arrival", 2500, f"{path}/in/events.parquet")
+    stream = stream_table(spark, f"{path}/in", "events", files_per_batch=files)
     sizes = {"sizes": lambda batch: batch.agg(F.min("arrival").alias("first"), F.count("*").alias("n"))}
     several_outputs(stream, sizes, f"{path}/rows", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/rows/sizes").select("first", "n")
@@ -212,8 +220,8 @@ def stream_late_rows(spark, sf):
     are all rows. Every row is a group of its own, so that each late one counts."""
     path = shared_folder(spark, "late")
     events = table(spark, sf, "events").withColumn("place", F.pmod(F.xxhash64("event_id"), F.lit(SLICES)))
-    replay_by_count(events, "place", 1, f"{path}/in/events.parquet")
-    stream = stream_table(spark, f"{path}/in", "events", files_per_batch=1)
+    files = replay_by_count(events, "place", 1, f"{path}/in/events.parquet")
+    stream = stream_table(spark, f"{path}/in", "events", files_per_batch=files)
     counts = stream_window_aggregate(stream, "ts", HOUR, None, HOUR, ["event_id"], {"n": count("ts")})
     with batch_log(spark, f"{path}/log"):
         upsert_parquet(counts, f"{path}/rows", f"{path}/checkpoint")

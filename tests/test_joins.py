@@ -5,7 +5,14 @@ from pyspark.sql import functions as F
 
 from panewise.functions.names import qualified
 from panewise.operators.joins import join
-from panewise.operators.selectivity import join_selectivity, product_size, rank_edges
+from panewise.operators.selectivity import (
+    edge_selectivities,
+    join_selectivity,
+    product_size,
+    rank_edges,
+    window_selectivity,
+)
+from panewise.operators.window_joins import window_join
 from panewise.plans import joins as plans
 from tests.conftest import final_plan, plan, rows
 
@@ -221,15 +228,58 @@ def test_product_size(left, right):
 
 
 def test_edges_most_selective_first(left, right):
-    ranked = rank_edges(
-        {
-            "wide": join_selectivity(left, left.toDF("k2", "l2"), [("lk", "k2")]),
-            "narrow": join_selectivity(left, right, [("lk", "rk")]),
-        }
+    """All edges from one pass over each table; as the profiles of single joins."""
+    tables = {"l": left, "r": right, "l2": left.toDF("k2", "l2")}
+    edges = {"wide": ("l", "lk", "l2", "k2"), "narrow": ("r", "rk", "l", "lk"), "none": ("l", "lk", "e", "rk")}
+    tables["e"] = right.where("rk > 9")
+    profiles = edge_selectivities(tables, edges)
+    wide, narrow = ([(*r, name) for r in rows(p)] for name, p in (
+        ("wide", join_selectivity(left, tables["l2"], [("lk", "k2")])),
+        ("narrow", join_selectivity(right, left, [("rk", "lk")])),
+    ))
+    assert sorted((*r[1:], r[0]) for r in map(tuple, profiles.collect())) == sorted(wide + narrow)
+    ranked = {r.edge: (r.place, r.selectivity) for r in rank_edges(profiles).collect()}
+    assert min(ranked.values())[1] == min(s for _, s in ranked.values())
+
+
+def test_edge_keys_of_every_type(spark):
+    a = spark.createDataFrame([(0.0, "1"), (-0.0, None), (float("nan"), "x"), (None, "x")], "d double, s string")
+    b = spark.createDataFrame([(-0.0, "x"), (float("nan"), "y"), (None, None)], "e double, t string")
+    got = edge_selectivities({"a": a, "b": b}, {"d": ("a", "d", "b", "e"), "s": ("a", "s", "b", "t")})
+    want = {"d": a.join(b, a.d == b.e).count(), "s": a.join(b, a.s == b.t).count()}
+    assert {r.edge: r.joined_rows for r in got.collect()} == want == {"d": 3, "s": 2}
+
+
+def kept(spark, seed, n, names):
+    """Rows over 40 panes of ten seconds, a third of them with one key, some without key or time."""
+    df = spark.range(n).select(
+        F.when(F.rand(seed) < 0.3, 1).when(F.rand(seed + 1) < 0.05, None).otherwise((F.rand(seed + 2) * 9).cast("int")).alias("k"),
+        F.expr(f"TIMESTAMP_NTZ '2024-01-01' + make_dt_interval(0, 0, 0, CAST(rand({seed + 3}) * 400 AS DECIMAL(18, 6)))").alias("t"),
+        F.col("id"),
     )
-    best = {r.edge: r.place for r in ranked.collect()}
-    ratios = {r.edge: r.selectivity for r in ranked.collect()}
-    assert best[min(ratios, key=ratios.get)] == 1
+    return df.withColumn("t", F.when(F.col("id") > 2, F.col("t"))).toDF(*names)
+
+
+@pytest.mark.parametrize("n, m", [(1, 1), (3, 3), (1, 7), (12, 2)])
+def test_window_selectivity_counts_the_window_join(spark, n, m):
+    left, right = kept(spark, 3, 150, ["a", "at", "i"]).cache(), kept(spark, 9, 70, ["b", "bt", "j"]).cache()
+    got = window_selectivity(left, right, [("b", "a")], "at", "bt", 10, n, m).collect()
+    pairs = window_join(left, right, [("a", "b")], "at", "bt", 10, n, m).groupBy("last_pane").count()
+    pairs = {r.last_pane: r["count"] for r in pairs.collect()}
+
+    def held(df, ts, panes):
+        ends = df.where(f"{ts} IS NOT NULL").select(F.window(ts, "10 seconds").start.alias("p"))
+        ends = ends.select(F.explode(F.expr(f"transform(sequence(0, {panes - 1}), x -> p + make_dt_interval(0, 0, 0, x * 10))")).alias("p"))
+        return {r.p: r["count"] for r in ends.groupBy("p").count().collect()}
+
+    lefts, rights = held(left, "at", n), held(right, "bt", m)
+    want = sorted((p, lefts[p], rights[p], float(pairs.get(p, 0)), pairs.get(p, 0) / (lefts[p] * rights[p])) for p in lefts.keys() & rights.keys())
+    assert sorted(map(tuple, got)) == want and len(want) > 20
+
+
+def test_window_selectivity_forms_no_join(spark, sf):
+    text = plan(plans.QUERIES["window_selectivity"](spark, sf))
+    assert "Join" not in text and text.count("Exchange") == 3
 
 
 def test_profile_has_no_join(spark, sf):

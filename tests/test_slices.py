@@ -74,3 +74,13 @@ def test_line_index(spark, block, conf):
     df = slices.with_line_index(spark.read.text([f"{path}/{n}" for n in ("000000", "000010", "005000")]))
     assert df.count() == 5003
     assert df.where(F.concat(F.lit("line "), F.col("arrival")) != F.col("value")).count() == 0
+
+
+def test_line_index_does_not_shuffle_lines(spark):
+    path = shared_folder(spark, "lines")
+    spark.range(0, 500, 1, 3).select(F.col("id").cast("string").alias("value")).write.text(path)
+    text = final_plan(slices.with_line_index(spark.read.text(path)))
+    text = text[: text.index("== Initial Plan ==")]
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+    lines = [x for x in text.split("\n") if "Exchange" in x]
+    assert all("__file" in x or "SinglePartition" in x or "Broadcast" in x for x in lines), lines

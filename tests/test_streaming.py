@@ -12,7 +12,7 @@ from panewise.operators.window_joins import window_join
 from panewise.operators.windows import window_aggregate
 from panewise.session import shared_folder
 from panewise.sources.delimited import declare_stream
-from panewise.sources.slices import replay_by_time
+from panewise.sources.slices import replay_by_count, replay_by_time
 from panewise.sources.tables import stream_table
 from panewise.streaming import sinks
 from panewise.streaming.queries import stream_join, stream_window_aggregate, stream_window_join
@@ -246,13 +246,36 @@ def test_log_tells_of_late_rows(spark):
     assert sinks.timings(spark, f"{out}-log").agg(F.sum("dropped_rows")).collect()[0][0] == 1
 
 
-@pytest.mark.parametrize("slices, files", [(1, 1), (4, 1), (3, 2)])
-def test_replay(spark, events, slices, files):
+@pytest.mark.parametrize("slices, rows_per_file", [(1, 10**6), (4, 10**6), (3, 90)])
+def test_replay(spark, events, slices, rows_per_file):
+    """Every slice has the same number of files, and the files follow in the order of time."""
     path = shared_folder(spark, "replayed") + "/events.parquet"
     nulls = events.limit(3).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
-    replay_by_time(events.unionByName(nulls), "ts", path, slices, files)
-    assert rows(spark.read.parquet(path)) == rows(events.unionByName(nulls))
-    assert len(spark.read.parquet(path).inputFiles()) <= slices * files
+    files = replay_by_time(events.unionByName(nulls), "ts", path, slices, rows_per_file)
+    written = spark.read.parquet(path)
+    assert rows(written) == rows(events.unionByName(nulls))
+    found = written.select("ts", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_modification_time").alias("at"))
+    spans = found.groupBy("f", "at").agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.count("*").alias("n")).orderBy("at").collect()
+    assert len(spans) == slices * files and max(r.n for r in spans) <= 2 * rows_per_file
+    assert (files > 1) == (rows_per_file == 90)
+    parts = [spans[i : i + files] for i in range(0, len(spans), files)]
+    assert all(max(r.z for r in x) <= min(r.a for r in y) for x, y in zip(parts, parts[1:]))
+
+
+def test_replay_of_nothing(spark, events):
+    path = shared_folder(spark, "replayed") + "/events.parquet"
+    assert replay_by_time(events.limit(0), "ts", path, 4) == 1
+    assert spark.read.parquet(path).count() == 0
+
+
+def test_replay_by_count(spark, events):
+    path = shared_folder(spark, "counted") + "/events.parquet"
+    assert replay_by_count(events, "event_id", 400, path) == 1
+    n = events.count()
+    sizes = spark.read.parquet(path).groupBy(F.col("_metadata.file_path")).count()
+    assert rows(sizes.select("count")) == sorted(
+        [(400,)] * (n // 400) + ([(n % 400,)] if n % 400 else []), key=repr
+    )
 
 
 def test_hot_left_key_is_spread(spark, folder):
