@@ -1,8 +1,8 @@
 """The registered queries and, next to each, the same question in plain SQL."""
 
-from panewise.plans import inputs, joins, outputs, relational, windows
+from panewise.plans import inputs, joins, outputs, relational, streams, windows
 
-MODULES = (relational, windows, joins, inputs, outputs)
+MODULES = (relational, windows, joins, inputs, outputs, streams)
 
 
 def all_queries():

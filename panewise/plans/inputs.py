@@ -127,7 +127,7 @@ def text_line_index(spark, sf):
     """Lines of text files numbered in the order in which the files hold them."""
     path = shared_folder(spark, "orders-text")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
-    in_order = orders.repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+    in_order = orders.repartitionByRange("o_orderkey").sortWithinPartitions("o_orderkey")
     write_delimited(in_order, path, orders.columns, "|")
     return with_line_index(spark.read.text(path)).select("arrival", F.col("value").alias("line"))
 

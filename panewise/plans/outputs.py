@@ -29,11 +29,12 @@ from panewise.streaming.queries import stream_join, stream_window_aggregate, str
 from panewise.streaming.sinks import (
     append_parquet,
     batch_log,
-    latest,
+    one_output,
     several_outputs,
+    tagged_outputs,
     timings,
-    upsert_parquet,
 )
+from panewise.streaming.store import keep_windows, windows
 
 HOUR = 3600
 #: Slices of event time, one micro-batch each, in which the streams get their input.
@@ -79,8 +80,8 @@ def stream_window_agg(spark, sf):
     events = replayed_events(spark, sf)()
     sums = stream_window_aggregate(events, "ts", 3 * HOUR, HOUR, HOUR, ["event_type"], SPENT)
     path = shared_folder(spark, "window-agg")
-    upsert_parquet(sums, f"{path}/rows", f"{path}/checkpoint")
-    return latest(spark, f"{path}/rows", ["window_start", "window_end", "event_type"])
+    keep_windows(sums, f"{path}/rows", f"{path}/checkpoint", ["event_type"], HOUR, fold_every=4)
+    return windows(spark, f"{path}/rows", ["event_type"])
 
 
 def stream_window_closed(spark, sf):
@@ -96,11 +97,11 @@ def stream_batch_count(spark, sf):
     events = replayed_events(spark, sf)()
     counts = stream_window_aggregate(events, "ts", HOUR, None, HOUR, [], {"n": count("event_id")})
     path = shared_folder(spark, "batch-count")
-    upsert_parquet(counts, f"{path}/rows", f"{path}/checkpoint")
-    return latest(spark, f"{path}/rows", ["window_start", "window_end"])
+    keep_windows(counts, f"{path}/rows", f"{path}/checkpoint", [], HOUR)
+    return windows(spark, f"{path}/rows", [])
 
 
-def _clicks_and_purchases(spark, sf):
+def clicks_and_purchases(spark, sf):
     stream = replayed_events(spark, sf)
     events = stream()
     clicks = where(events, F.col("event_type"), "=", F.lit("click")).select(
@@ -118,7 +119,7 @@ def _clicks_and_purchases(spark, sf):
 def stream_pairs(spark, sf):
     """Purchases within ten hours of a click of the same user, from two streams."""
     pairs = stream_join(
-        *_clicks_and_purchases(spark, sf),
+        *clicks_and_purchases(spark, sf),
         before=10 * HOUR,
         after=10 * HOUR,
         delay=HOUR,
@@ -138,7 +139,7 @@ def stream_pairs(spark, sf):
 def stream_windows_meet(spark, sf):
     """Clicks of the last 24 panes joined with purchases of the last 3, pane by pane."""
     pairs = stream_window_join(
-        *_clicks_and_purchases(spark, sf),
+        *clicks_and_purchases(spark, sf),
         pane=HOUR,
         left_panes=24,
         right_panes=3,
@@ -176,11 +177,20 @@ def stream_count_slices(spark, sf):
     return spark.read.parquet(f"{path}/rows/sizes").select("first", "n")
 
 
+def text_in_batches(spark, sf):
+    """A folder of text files, and how many of them make about a ``SLICES``-th of the lines."""
+    path = f'{shared_folder(spark, "lines")}/text'
+    lines = damaged_lines(spark, sf)
+    parts = max(SLICES, lines.rdd.getNumPartitions())
+    lines.repartition(parts).write.text(path)
+    return path, -(-parts // SLICES)
+
+
 def stream_parse(spark, sf):
     """Delimited text files arriving in a folder, parsed as they arrive."""
-    path = shared_folder(spark, "lines")
-    damaged_lines(spark, sf).write.text(f"{path}/text")
-    typed = declare_stream(spark, "pw_lines", LINE_SCHEMA, f"{path}/text", ",")
+    text, files = text_in_batches(spark, sf)
+    path = shared_folder(spark, "parsed")
+    typed = declare_stream(spark, "pw_lines", LINE_SCHEMA, text, ",", files)
     append_parquet(typed, f"{path}/rows", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/rows")
 
@@ -188,16 +198,11 @@ def stream_parse(spark, sf):
 def stream_several_outputs(spark, sf):
     """One stream, two results per micro-batch."""
     events = replayed_events(spark, sf)().select("event_id", "event_type", "value")
-    outputs = {
-        "clicks": lambda batch: where(batch, F.col("event_type"), "=", F.lit("click")),
-        "dear": lambda batch: where(batch, F.col("value"), ">", F.lit(100.0)),
-    }
+    outputs = {"clicks": F.col("event_type") == "click", "dear": F.col("value") > 100.0}
     path = shared_folder(spark, "outputs")
-    several_outputs(events, outputs, f"{path}/rows", f"{path}/checkpoint")
+    tagged_outputs(events, outputs, f"{path}/rows", f"{path}/checkpoint")
     results = [
-        spark.read.parquet(f"{path}/rows/{name}").select(
-            F.lit(name).alias("output"), "event_id", "event_type", "value"
-        )
+        one_output(spark, f"{path}/rows", name).select(F.lit(name).alias("output"), "event_id", "event_type", "value")
         for name in outputs
     ]
     return results[0].unionByName(results[1])
@@ -224,8 +229,8 @@ def stream_late_rows(spark, sf):
     stream = stream_table(spark, f"{path}/in", "events", files_per_batch=files)
     counts = stream_window_aggregate(stream, "ts", HOUR, None, HOUR, ["event_id"], {"n": count("ts")})
     with batch_log(spark, f"{path}/log"):
-        upsert_parquet(counts, f"{path}/rows", f"{path}/checkpoint")
-    counted = latest(spark, f"{path}/rows", ["window_start", "event_id"])
+        keep_windows(counts, f"{path}/rows", f"{path}/checkpoint", ["event_id"], HOUR, fold_every=3)
+    counted = windows(spark, f"{path}/rows", ["event_id"])
     rows = counted.select("n").unionByName(
         timings(spark, f"{path}/log").select(F.col("dropped_rows").alias("n"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from panewise.functions.text import CONVERTERS, drop_trailing, normalise_addresses, split_fields
@@ -56,6 +56,26 @@ def parse(
     return _records(lines, schema, delimiter, value).select(*keep, F.inline(rows))
 
 
+def parse_counted(
+    lines: DataFrame,
+    schema: str,
+    delimiter: str,
+    name: str | Observation,
+    value: str = "value",
+    keep: tuple[str, ...] = (),
+) -> DataFrame:
+    """As :func:`parse`, and counts what it drops while it runs.
+
+    The numbers ``n_lines``, ``n_kept`` and ``n_rejected`` are observed as ``name``: a batch
+    hands them to an ``Observation`` when it has run, a stream reports them with every
+    micro-batch, where the batch log keeps them. No second pass over the lines is made.
+    """
+    kept = F.count_if(F.col(_OK))
+    counts = F.count(F.lit(1)).alias("n_lines"), kept.alias("n_kept"), F.count_if(~F.col(_OK)).alias("n_rejected")
+    records = _records(lines, schema, delimiter, value).observe(name, *counts)
+    return records.select(*keep, F.inline(F.when(F.col(_OK), F.array(_RECORD))))
+
+
 def line_counts(
     lines: DataFrame, schema: str, delimiter: str, value: str = "value"
 ) -> DataFrame:
@@ -88,9 +108,16 @@ def declare_stream(
     path: str,
     delimiter: str,
     files_per_batch: int | None = None,
+    count_as: str | None = None,
 ) -> DataFrame:
-    """The same folder as a stream: new files arrive as new micro-batches."""
+    """The same folder as a stream: new files arrive as new micro-batches.
+
+    With ``count_as`` the lines kept and rejected are observed under that name.
+    """
     reader = spark.readStream
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return named(parse(reader.text(path), schema, delimiter), name)
+    lines = reader.text(path)
+    if count_as:
+        return named(parse_counted(lines, schema, delimiter, count_as), name)
+    return named(parse(lines, schema, delimiter), name)

@@ -53,6 +53,29 @@ def stream_window_aggregate(
     )
 
 
+def block_of(seconds: Column, block: int) -> Column:
+    return F.floor(seconds / F.lit(block)).cast("bigint")
+
+
+def part_of(column: str | None, df: DataFrame, parts: int) -> Column:
+    """The hash part of a row; all rows lie in part 0 if there is only one."""
+    if parts == 1:
+        return F.lit(0)
+    return F.pmod(F.xxhash64(resolve(df, column)), F.lit(parts)).cast("int")
+
+
+def every(parts: int) -> Column:
+    return F.sequence(F.lit(0), F.lit(parts - 1))
+
+
+def near_in_time(time: str, other: str, before: int, after: int) -> Column:
+    """Whether ``other`` lies ``before`` s before to ``after`` s after ``time``."""
+    return F.expr(
+        f"{other} >= {time} - INTERVAL '{int(before)}' SECOND AND "
+        f"{other} <= {time} + INTERVAL '{int(after)}' SECOND"
+    )
+
+
 def stream_join(
     left: DataFrame,
     right: DataFrame,
@@ -66,6 +89,7 @@ def stream_join(
     splits: int = 1,
     left_id: str | None = None,
     left_splits: int = 1,
+    left_marked: bool = False,
 ) -> DataFrame:
     """Pairs with equal keys whose right row lies ``before`` s before to ``after`` s after
     the left row, each emitted once. Watermarks on both sides let old state go.
@@ -78,6 +102,12 @@ def stream_join(
     ``left_splits`` the left rows by ``left_id``; each row then goes to every split of the
     other side. Pass the smaller stream as ``left``.
 
+    Joins can be chained: ``left`` may be the result of another stream join or aggregate,
+    whose times carry a watermark already; say so with ``left_marked``, and keep only the one
+    time column that this join uses. The watermark of a
+    query over several inputs is that of the slowest one. While an input is idle it stands
+    still: pairs whose rows have arrived are emitted all the same, only old state stays.
+
     Times come out as instants. Rows without a time join nothing.
     """
     shared_names(left, right)
@@ -89,26 +119,14 @@ def stream_join(
         raise ValueError("left_splits needs a left_id")
     keys = equal([oriented(left, right, pair) for pair in on])
     block = before + after
-    lefts = with_watermark(left, left_ts, delay)
+    lefts = left if left_marked else with_watermark(left, left_ts, delay)
     rights = with_watermark(right, right_ts, delay)
     left_time, right_time = resolve(left, left_ts), resolve(right, right_ts)
-
-    def block_of(seconds: Column) -> Column:
-        return F.floor(seconds / F.lit(block)).cast("bigint")
-
-    def part_of(column: str | None, df: DataFrame, parts: int) -> Column:
-        if parts == 1:
-            return F.lit(0)
-        return F.pmod(F.xxhash64(resolve(df, column)), F.lit(parts)).cast("int")
-
-    def every(parts: int) -> Column:
-        return F.sequence(F.lit(0), F.lit(parts - 1))
-
-    first = block_of(F.unix_seconds(left_time) - before)
-    last = block_of(F.unix_seconds(left_time) + after)
+    first = block_of(F.unix_seconds(left_time) - before, block)
+    last = block_of(F.unix_seconds(left_time) + after, block)
     lefts = lefts.withColumn("__block", F.explode(F.array_distinct(F.array(first, last))))
     lefts = lefts.withColumn("__of_left", part_of(left_id, left, left_splits))
-    rights = rights.withColumn("__own", block_of(F.unix_seconds(right_time)))
+    rights = rights.withColumn("__own", block_of(F.unix_seconds(right_time), block))
     rights = rights.withColumn("__of_right", part_of(right_id, right, splits))
     if splits > 1:
         lefts = lefts.withColumn("__for_right", F.explode(every(splits)))
@@ -118,21 +136,165 @@ def stream_join(
         rights = rights.withColumn("__for_left", F.explode(every(left_splits)))
     else:
         rights = rights.withColumn("__for_left", F.lit(0))
-    near = (
-        f"{right_time} >= {left_time} - INTERVAL '{int(before)}' SECOND AND "
-        f"{right_time} <= {left_time} + INTERVAL '{int(after)}' SECOND"
-    )
     joined = lefts.join(
         rights,
         keys
         & (F.col("__block") == F.col("__own"))
         & (F.col("__for_right") == F.col("__of_right"))
         & (F.col("__of_left") == F.col("__for_left"))
-        & F.expr(near),
+        & near_in_time(left_time, right_time, before, after),
     )
     return joined.select(*[quoted(c) for c in (*left.columns, *right.columns)])
 
 
+def stream_outer_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[tuple[str, str]],
+    left_ts: str,
+    right_ts: str,
+    before: int,
+    after: int,
+    delay: int,
+    how: str,
+    left_id: str | None = None,
+    left_splits: int = 1,
+    right_id: str | None = None,
+    right_splits: int = 1,
+) -> DataFrame:
+    """The pairs of :func:`stream_join`, and the rows without a partner of the kept sides:
+    ``how`` is "left", "right" or "full". The columns of the missing partner are null.
+
+    A row without a partner comes out once, when the watermark says that none can come any
+    more: ``after`` seconds after a left row, ``before`` seconds after a right one. Rows that
+    may still find one are not emitted.
+
+    A kept row must lie in one place, or its copies would each miss the others' partners. So
+    the rows of the other side are copied to the one or two time blocks, and to all hash parts
+    (``left_splits`` or ``right_splits`` of a kept side's hot keys), where a kept row can be.
+    A full join keeps both sides: it is a left join and the rows of a right join that have no
+    partner; for these only keys and times of the left side are stored.
+
+    Rows with a null key have no partner; rows without a time take no part. Times come out as
+    instants.
+    """
+    if how not in ("left", "right", "full"):
+        raise ValueError(f"unknown join {how}: use left, right or full")
+    shared_names(left, right)
+    if not on:
+        raise ValueError("a join needs at least one pair of columns")
+    if before < 0 or after < 0 or before + after == 0 or min(left_splits, right_splits) < 1:
+        raise ValueError("before, after and splits must span something")
+    if left_splits > 1 and left_id is None or right_splits > 1 and right_id is None:
+        raise ValueError("splits need an id")
+    pairs = [oriented(left, right, pair) for pair in on]
+    lefts, rights = (
+        with_watermark(df, ts, delay).where(F.col(resolve(df, ts)).isNotNull())
+        for df, ts in ((left, left_ts), (right, right_ts))
+    )
+    left_time, right_time = resolve(left, left_ts), resolve(right, right_ts)
+    columns = [quoted(c) for c in (*left.columns, *right.columns)]
+    out = None
+    if how in ("left", "full"):
+        condition = equal(pairs) & near_in_time(left_time, right_time, before, after)
+        spread = _one_place(lefts, rights, left_time, right_time, before, after, left_id, left_splits)
+        out = _joined(*spread, condition, "left_outer").select(*columns)
+    if how == "right":
+        condition = equal(pairs) & near_in_time(right_time, left_time, after, before)
+        spread = _one_place(rights, lefts, right_time, left_time, after, before, right_id, right_splits)
+        out = _joined(*spread, condition, "left_outer").select(*columns)
+    if how == "full":
+        keys = [F.col(a).alias(f"__k{i}") for i, (a, _) in enumerate(pairs)]
+        narrow = lefts.select(*keys, F.col(left_time).alias("__time"), F.lit(1).alias("__here"))
+        same = equal([(f"__k{i}", b) for i, (_, b) in enumerate(pairs)])
+        condition = same & near_in_time(right_time, "__time", after, before)
+        spread = _one_place(rights, narrow, right_time, "__time", after, before, right_id, right_splits)
+        alone = _joined(*spread, condition, "left_outer").where(F.col("__here").isNull())
+        types = {f.name: f.dataType for f in lefts.schema}
+        nothing = [F.lit(None).cast(types[c]).alias(c) for c in left.columns]
+        out = out.unionByName(alone.select(*nothing, *[quoted(c) for c in right.columns]))
+    return out
+
+
+def _one_place(
+    kept: DataFrame,
+    other: DataFrame,
+    kept_time: str,
+    other_time: str,
+    before: int,
+    after: int,
+    kept_id: str | None,
+    splits: int,
+) -> tuple[DataFrame, DataFrame]:
+    """Every kept row in its own time block and hash part, the others wherever they can be met."""
+    block = before + after
+    kept = kept.withColumns(
+        {"__own": block_of(F.unix_seconds(kept_time), block), "__part": part_of(kept_id, kept, splits)}
+    )
+    first = block_of(F.unix_seconds(other_time) - after, block)
+    last = block_of(F.unix_seconds(other_time) + before, block)
+    other = other.withColumn("__block", F.explode(F.array_distinct(F.array(first, last))))
+    return kept, other.withColumn("__for", F.explode(every(splits)) if splits > 1 else F.lit(0))
+
+
+def _joined(kept: DataFrame, other: DataFrame, condition: Column, how: str) -> DataFrame:
+    meets = (F.col("__own") == F.col("__block")) & (F.col("__part") == F.col("__for"))
+    return kept.join(other, condition & meets, how)
+
+
+def stream_aggregate_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[tuple[str, str]],
+    left_ts: str,
+    right_ts: str,
+    size: int,
+    slide: int | None,
+    delay: int,
+    keys: list[str],
+    aggregates: dict[str, Aggregate],
+) -> DataFrame:
+    """A windowed aggregate of ``left`` joined to the rows of ``right`` in the same window.
+
+    ``on`` pairs keys of the aggregate with columns of ``right``. Result columns are the
+    window's bounds, the keys, the aggregates and the columns of ``right``. Aggregates come
+    out when the watermark has closed their window and meet the waiting rows by key and
+    window, so state goes with the watermark and a hot key spreads over its windows. A row of
+    ``right`` is copied to each of its windows; its time comes out as an instant.
+    """
+    check_types(left, aggregates)
+    names = [left.select(resolve(left, k)).columns[0] for k in keys]
+    clash = {*names, *aggregates, "window_start", "window_end"} & set(right.columns)
+    if clash:
+        raise ValueError(f"both sides have {sorted(clash)}: name the columns with qualified()")
+    if not on:
+        raise ValueError("a join needs at least one pair of columns")
+    zoneless = is_ntz(left, left_ts)
+    spans = duration(size), duration(slide or size)
+    lefts, rights = with_watermark(left, left_ts, delay), with_watermark(right, right_ts, delay)
+    grouped = [F.col(resolve(lefts, k)).alias(n) for k, n in zip(keys, names)]
+    window = F.window(resolve(lefts, left_ts), *spans).alias("__w")
+    totals = lefts.groupBy(window, *grouped).agg(*one_step(aggregates))
+    # a join takes one time column from each side, so the others travel as microseconds
+    micros = [F.unix_micros("__w.start").alias("__from"), F.unix_micros("__w.end").alias("__to")]
+    closed = F.window_time("__w").alias("__closed")
+    totals = totals.select(closed, *micros, *[quoted(c) for c in (*names, *aggregates)])
+    rights = rights.withColumn("__of", F.window(resolve(rights, right_ts), *spans))
+    time = F.unix_micros(resolve(rights, right_ts)).alias("__micros")
+    kept = [c for c in right.columns if c != right_ts]
+    waiting = rights.select(F.window_time("__of").alias("__time"), time, *[quoted(c) for c in kept])
+    pairs = equal([oriented(totals, waiting, pair) for pair in on])
+    joined = totals.join(waiting, pairs & (F.col("__closed") == F.col("__time")))
+    instants = {c: F.timestamp_micros(f"__{m}") for c, m in zip(("start", "end", right_ts), ("from", "to", "micros"))}
+    joined = joined.withColumns({f"__{c}": instants[c] for c in ("start", "end")})
+    return joined.select(
+        bound("__start", zoneless).alias("window_start"),
+        bound("__end", zoneless).alias("window_end"),
+        *[quoted(c) for c in (*names, *aggregates)],
+        *[instants[c].alias(c) if c == right_ts else F.col(quoted(c)) for c in right.columns],
+    )
+
+
 def stream_window_join(
     left: DataFrame,
     right: DataFrame,

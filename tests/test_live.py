@@ -1,0 +1,344 @@
+"""Streams that keep partial results, chain stateful steps, count rejects, and their store."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
+
+from panewise.functions.aggregates import count, highest, lowest, mean, total
+from panewise.operators.windows import window_aggregate
+from panewise.session import shared_folder
+from panewise.sources.delimited import declare_stream, line_counts, parse, parse_counted
+from panewise.sources.tables import stream_table
+from panewise.streaming import sinks, store
+from panewise.streaming.panes import stream_pane_aggregate
+from panewise.streaming.queries import (
+    stream_aggregate_join,
+    stream_join,
+    stream_outer_join,
+    stream_window_aggregate,
+)
+from tests.conftest import plan, rows
+
+BASE = datetime(2024, 1, 1)
+SCHEMA = "ts timestamp_ntz, k string, v double, id int"
+FIVE = {"s": total("v", 2), "lo": lowest("v"), "hi": highest("v"), "m": mean("v", 2), "n": count("v")}
+
+
+def made(seed, n, span=4000):
+    """Rows of a few keys, one of them hot, some without key, in the order of time."""
+    rng = random.Random(seed)
+    out = []
+    for i, s in enumerate(sorted(rng.randrange(span) for _ in range(n))):
+        key = rng.choice(["a", "a", "a", "b", "c", None])
+        out.append((BASE + timedelta(seconds=s), key, rng.randrange(1000) / 4, i))
+    return out
+
+
+def feed(spark, folder, name, data, parts, first=0, last=None):
+    step = -(-len(data) // parts) or 1
+    for i in range(first, parts if last is None else last):
+        chunk = spark.createDataFrame(data[i * step : (i + 1) * step], SCHEMA)
+        chunk.coalesce(1).write.mode("append").parquet(f"{folder}/{name}.parquet")
+
+
+def stream(spark, folder, name):
+    return stream_table(spark, folder, name, files_per_batch=1)
+
+
+def places(spark, name):
+    path = shared_folder(spark, name)
+    return f"{path}/rows", f"{path}/checkpoint"
+
+
+def appended(spark, df, name):
+    out, checkpoint = places(spark, name)
+    query = sinks.append_parquet(df, out, checkpoint)
+    return spark.read.parquet(out), query
+
+
+@pytest.fixture(scope="module")
+def fed(spark):
+    folder, data = shared_folder(spark, "live"), made(3, 300)
+    feed(spark, folder, "t", data, 6)
+    return folder, spark.createDataFrame(data, SCHEMA)
+
+
+@pytest.mark.parametrize("size, slide", [(600, 100), (200, 200), (900, 300)])
+def test_panes_equal_closed_windows(spark, fed, size, slide):
+    folder, df = fed
+    got, _ = appended(spark, stream_pane_aggregate(stream(spark, folder, "t"), "ts", size, slide, 60, ["k"], FIVE), "p")
+    want = window_aggregate(df, "ts", size, slide, ["k"], FIVE)
+    closed = df.agg(F.max("ts") - F.expr("INTERVAL 60 SECOND")).first()[0]
+    assert got.columns == want.columns
+    assert rows(got) == rows(want.where(F.col("window_end") <= F.lit(closed)))
+
+
+def test_panes_keep_panes_as_state(spark, fed):
+    """A key has a state row for each open pane and window, not for each of a window's panes."""
+    folder, df = fed
+    panes, keys = 20, df.select("k").distinct().count()
+    out = stream_pane_aggregate(stream(spark, folder, "t"), "ts", panes * 30, 30, 30, ["k"], FIVE)
+    _, query = appended(spark, out, "state")
+    busy = [p for p in query.recentProgress if p.numInputRows]
+    per_batch = df.count() // 6
+    for progress in busy[1:]:
+        merged, partials = sorted(progress.stateOperators, key=lambda s: s.operatorName)[:2]
+        assert {s.operatorName for s in progress.stateOperators} == {"stateStoreSave"}
+        assert max(merged.numRowsTotal, partials.numRowsTotal) <= keys * (panes + 2) + per_batch
+        # every row touches one pane; a plain sliding aggregate touches as many windows as panes
+        assert min(s.numRowsUpdated for s in progress.stateOperators) <= per_batch
+
+
+def test_panes_go_on_after_a_restart(spark):
+    folder, data = shared_folder(spark, "restart"), made(5, 120)
+    out, checkpoint = places(spark, "restarted")
+
+    def run():
+        sums = stream_pane_aggregate(stream(spark, folder, "t"), "ts", 400, 100, 0, ["k"], FIVE)
+        sinks.append_parquet(sums, out, checkpoint)
+
+    feed(spark, folder, "t", data, 4, 0, 2)
+    run()
+    feed(spark, folder, "t", data, 4, 2, 4)
+    run()
+    df = spark.createDataFrame(data, SCHEMA)
+    want = window_aggregate(df, "ts", 400, 100, ["k"], FIVE)
+    assert rows(spark.read.parquet(out)) == rows(want.where(F.col("window_end") <= F.lit(max(d[0] for d in data))))
+
+
+def test_refused_panes(spark, fed):
+    live = stream(spark, fed[0], "t")
+    with pytest.raises(ValueError):
+        stream_pane_aggregate(live, "ts", 250, 100, 0, ["k"], FIVE)
+    with pytest.raises(ValueError):
+        stream_pane_aggregate(live.withColumnRenamed("k", "__k"), "ts", 200, 100, 0, ["__k"], FIVE)
+    with pytest.raises(TypeError):
+        stream_pane_aggregate(live, "ts", 200, 100, 0, ["k"], {"x": total("k")})
+
+
+@pytest.fixture(scope="module")
+def two(spark):
+    folder = shared_folder(spark, "two")
+    a, b = made(11, 150), made(12, 110)
+    # both sides go on long enough for all but the last rows to be settled
+    feed(spark, folder, "a", a, 6)
+    feed(spark, folder, "b", b, 6)
+    frames = [spark.createDataFrame(d, SCHEMA).toDF(*n) for d, n in ((a, ["at", "ak", "av", "ai"]), (b, ["bt", "bk", "bv", "bi"]))]
+    return folder, *frames
+
+
+def two_sides(spark, folder):
+    return stream(spark, folder, "a").toDF("at", "ak", "av", "ai"), stream(spark, folder, "b").toDF("bt", "bk", "bv", "bi")
+
+
+def settled(a, b, how, before, after, delay):
+    """Batch rows: pairs, and lone rows that no partner can reach any more."""
+    near = F.expr(f"bt BETWEEN at - INTERVAL {before} SECOND AND at + INTERVAL {after} SECOND")
+    joined = a.join(b, (F.col("ak") == F.col("bk")) & near, how)
+    mark = min(a.agg(F.max("at")).first()[0], b.agg(F.max("bt")).first()[0]) - timedelta(seconds=delay)
+    pair = F.col("ai").isNotNull() & F.col("bi").isNotNull()
+    old_left = F.col("at") + F.expr(f"INTERVAL {after} SECOND") < F.lit(mark)
+    old_right = F.col("bt") + F.expr(f"INTERVAL {before} SECOND") < F.lit(mark)
+    return joined.where(pair | F.coalesce(old_left, F.lit(False)) | F.coalesce(old_right, F.lit(False)))
+
+
+@pytest.mark.parametrize("how", ["left", "right", "full"])
+@pytest.mark.parametrize("before, after, left_splits, right_splits", [(20, 30, 1, 1), (40, 0, 4, 3)])
+def test_outer_joins(spark, two, how, before, after, left_splits, right_splits):
+    folder, a, b = two
+    out = stream_outer_join(
+        *two_sides(spark, folder), [("bk", "ak")], "at", "bt", before, after, 10, how, "ai", left_splits, "bi", right_splits
+    )
+    got, _ = appended(spark, out, f"outer-{how}")
+    want = settled(a, b, how, before, after, 10)
+    shown = ["ak", "av", "ai", "bk", "bv", "bi"]
+    assert got.columns == ["at", "ak", "av", "ai", "bt", "bk", "bv", "bi"]
+    assert rows(got.select(shown)) == rows(want.select(shown))
+    lone = {"left": "bi is null", "right": "ai is null", "full": "ai is null or bi is null"}[how]
+    assert got.where(lone).count() > 10 and got.where("ai is not null and bi is not null").count() > 10
+
+
+def test_refused_outer_joins(spark, two):
+    a, b = two_sides(spark, two[0])
+    times = ("at", "bt", 10, 10, 10)
+    for bad in (("inner",), ("left", None, 2), ("left", "ai", 0), ("full", "ai", 1, None, 2)):
+        with pytest.raises(ValueError):
+            stream_outer_join(a, b, [("ak", "bk")], *times, *bad)
+    with pytest.raises(ValueError):
+        stream_outer_join(a, b, [], *times, "left")
+    with pytest.raises(TypeError):
+        stream_outer_join(a, b, [("ak", "bi")], *times, "left")
+
+
+def chained(spark, folder, third):
+    a, b = two_sides(spark, folder)
+    pairs = stream_join(a, b, [("ak", "bk")], "at", "bt", 60, 60, 10, "bi").select("ak", "ai", "bi", "bt")
+    c = stream(spark, third, "c").toDF("ct", "ck", "cv", "ci")
+    return stream_join(pairs, c, [("ak", "ck")], "bt", "ct", 20, 40, 10, "ci", left_marked=True)
+
+
+def triples(a, b, c):
+    near = F.expr("bt BETWEEN at - INTERVAL 60 SECOND AND at + INTERVAL 60 SECOND")
+    third = F.expr("ct BETWEEN bt - INTERVAL 20 SECOND AND bt + INTERVAL 40 SECOND")
+    return a.join(b, (F.col("ak") == F.col("bk")) & near).join(c, (F.col("ak") == F.col("ck")) & third)
+
+
+def test_three_streams_one_of_them_idle(spark, two):
+    """Pairs whose rows have arrived come out while an input is idle; nothing is forgotten."""
+    folder, a, b = two
+    third, data = shared_folder(spark, "third"), made(13, 140)
+    out, checkpoint = places(spark, "three")
+    feed(spark, third, "c", data, 6, 0, 1)  # then nothing, while the others go on to their end
+    query = sinks.append_parquet(chained(spark, folder, third), out, checkpoint)
+    c = spark.createDataFrame(data, SCHEMA).toDF("ct", "ck", "cv", "ci")
+    first = c.where(F.col("ci") < -(-len(data) // 6))
+    shown = ["ai", "bi", "ci"]
+    assert rows(spark.read.parquet(out).select(shown)) == rows(triples(a, b, first).select(shown))
+    marks = [p.eventTime["watermark"] for p in query.recentProgress if "watermark" in p.eventTime]
+    idle = max(d[0] for d in data[: -(-len(data) // 6)]) - timedelta(seconds=10)
+    assert max(marks)[:19] <= idle.strftime("%Y-%m-%dT%H:%M:%S")
+    feed(spark, third, "c", data, 6, 1, 6)
+    sinks.append_parquet(chained(spark, folder, third), out, checkpoint)
+    want = rows(triples(a, b, c).select(shown))
+    assert rows(spark.read.parquet(out).select(shown)) == want and len(want) > 50
+
+
+@pytest.mark.parametrize("size, slide", [(100, None), (300, 100)])
+def test_aggregate_joined_to_a_stream(spark, two, size, slide):
+    folder, a, b = two
+    left, right = two_sides(spark, folder)
+    sums = {"s": total("av", 2), "n": count("ai")}
+    out = stream_aggregate_join(left, right, [("ak", "bk")], "at", "bt", size, slide, 10, ["ak"], sums)
+    got, _ = appended(spark, out, "agg-join")
+    batch = window_aggregate(a, "at", size, slide, ["ak"], sums)
+    inside = (F.col("bt") >= F.col("window_start")) & (F.col("bt") < F.col("window_end"))
+    mark = min(a.agg(F.max("at")).first()[0], b.agg(F.max("bt")).first()[0]) - timedelta(seconds=10)
+    want = batch.join(b, (F.col("ak") == F.col("bk")) & inside).where(F.col("window_end") <= F.lit(mark))
+    shown = ["window_start", "window_end", "ak", "s", "n", "bi"]
+    assert rows(got.select(shown)) == rows(want.select(shown)) and got.count() > 20
+    assert got.columns == ["window_start", "window_end", "ak", "s", "n", "bt", "bk", "bv", "bi"]
+
+
+def live_sums(spark, folder):
+    return stream_window_aggregate(stream(spark, folder, "t"), "ts", 300, 100, 20, ["k"], FIVE)
+
+
+def kept(spark, folder, data, parts, fold_every, runs=1):
+    out, checkpoint = places(spark, "store")
+    for run in range(runs):
+        feed(spark, folder, "t", data, parts, run * parts // runs, (run + 1) * parts // runs)
+        store.keep_windows(live_sums(spark, folder), out, checkpoint, ["k"], 20, fold_every)
+    return out, checkpoint
+
+
+@pytest.mark.parametrize("fold_every, runs", [(1, 1), (2, 3), (100, 1)])
+def test_store_holds_every_window_once(spark, fold_every, runs):
+    folder, data = shared_folder(spark, "stored"), made(21, 200)
+    out, _ = kept(spark, folder, data, 6, fold_every, runs)
+    want = window_aggregate(spark.createDataFrame(data, SCHEMA), "ts", 300, 100, ["k"], FIVE)
+    got = store.windows(spark, out, ["k"])
+    assert got.columns == want.columns and rows(got) == rows(want)
+
+
+def test_store_reads_open_windows_and_the_result(spark):
+    """What is read is the result and the versions since the last fold, and without sorting."""
+    folder, data = shared_folder(spark, "bounded"), made(22, 400)
+    out, _ = kept(spark, folder, data, 12, 3)
+    got = store.windows(spark, out, ["k"])
+    result, read = got.count(), sum(spark.read.parquet(f).count() for f in got.inputFiles())
+    every_version = kept(spark, shared_folder(spark, "unbounded"), data, 12, 100)[0]
+    versions = sum(spark.read.parquet(f).count() for f in store.windows(spark, every_version, ["k"]).inputFiles())
+    assert result <= read < versions
+    open_windows = 3 * 4 * 4  # fold_every times windows open at once times keys
+    assert read - result <= 2 * open_windows
+    assert "SortAggregate" not in plan(got)
+
+
+def test_closed_windows_are_never_written_again(spark):
+    folder, data = shared_folder(spark, "closed"), made(23, 200)
+    out, _ = kept(spark, folder, data, 8, 2)
+    closed = spark.read.parquet(f"{out}/folded/*/__closed=true")
+    assert closed.count() == closed.select("window_start", "window_end", "k").distinct().count() > 0
+
+
+def test_store_of_a_batch_that_runs_again(spark, monkeypatch):
+    """The driver is lost after a fold is written, before its manifest is; the batch runs again."""
+    folder, data = shared_folder(spark, "lost"), made(24, 200)
+    feed(spark, folder, "t", data, 6)
+    out, checkpoint = places(spark, "lost-out")
+    write, calls = store._Folder.write, []
+
+    def fails_once(self, name, text):
+        calls.append(name)
+        if len(calls) == 4:
+            raise RuntimeError("lost")
+        write(self, name, text)
+
+    monkeypatch.setattr(store._Folder, "write", fails_once)
+    with pytest.raises(StreamingQueryException):
+        store.keep_windows(live_sums(spark, folder), out, checkpoint, ["k"], 20, 2)
+    store.keep_windows(live_sums(spark, folder), out, checkpoint, ["k"], 20, 2)
+    assert calls.count(calls[3]) == 2
+    want = window_aggregate(spark.createDataFrame(data, SCHEMA), "ts", 300, 100, ["k"], FIVE)
+    assert rows(store.windows(spark, out, ["k"])) == rows(want)
+
+
+def test_store_of_nothing(spark):
+    folder = shared_folder(spark, "nothing")
+    spark.createDataFrame([], SCHEMA).coalesce(1).write.parquet(f"{folder}/t.parquet")
+    out, checkpoint = places(spark, "nothing-out")
+    store.keep_windows(live_sums(spark, folder), out, checkpoint, ["k"], 20)
+    assert store.windows(spark, out, ["k"]).count() == 0
+
+
+LINES = ["1,2", "bad", "3,4,", " 5,6", "7", "x,8", "", "9,9"]
+
+
+def test_rejects_of_every_batch(spark):
+    path = shared_folder(spark, "rejected")
+    for i in range(0, len(LINES), 2):
+        spark.createDataFrame([(c,) for c in LINES[i : i + 2]], "value string").coalesce(1).write.mode("append").text(path)
+    typed = declare_stream(spark, "pw_rejects", "a int, b int", path, ",", files_per_batch=1, count_as="in")
+    out, checkpoint = places(spark, "rejected-out")
+    with sinks.batch_log(spark, f"{out}-log"):
+        sinks.append_parquet(typed, out, checkpoint)
+    assert rows(spark.read.parquet(out)) == [(1, 2), (3, 4), (5, 6), (9, 9)]
+    log = sinks.timings(spark, f"{out}-log")
+    numbers = ["n_lines", "n_kept", "n_rejected"]
+    assert rows(sinks.observed_totals(log, "in", numbers)) == [(8, 4, 4)]
+    each = [tuple(r.observed[f"in.{n}"] for n in numbers) for r in log.where("input_rows > 0").orderBy("batch_id").collect()]
+    assert each == [(2, 1, 1), (2, 2, 0), (2, 0, 2), (2, 1, 1)]
+
+
+def test_rejects_of_a_table(spark):
+    lines = spark.createDataFrame([(c,) for c in LINES], "value string")
+    seen = Observation("in")
+    got = rows(parse_counted(lines, "a int, b int", ",", seen))
+    assert got == rows(parse(lines, "a int, b int", ","))
+    assert tuple(seen.get.values()) == (8, 4, 4) == rows(line_counts(lines, "a int, b int", ","))[0]
+
+
+def test_log_is_written_in_few_files(spark, fed):
+    out, checkpoint = places(spark, "few")
+    with sinks.batch_log(spark, f"{out}-log"):
+        sinks.append_parquet(stream(spark, fed[0], "t"), out, checkpoint)
+    assert sinks.timings(spark, f"{out}-log").where("input_rows > 0").count() == 6
+    assert len(spark.read.parquet(f"{out}-log").inputFiles()) == 1
+
+
+def test_tagged_outputs(spark, fed):
+    """Rows of no, one and two outputs; conditions on nulls; one write for each batch."""
+    folder, df = fed
+    outputs = {"a": F.col("k") == "a", "dear": F.col("v") > 150, "none": F.lit(False)}
+    out, checkpoint = places(spark, "tagged")
+    group = "tagged-jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    sinks.tagged_outputs(stream(spark, folder, "t"), outputs, out, checkpoint)
+    for name, condition in outputs.items():
+        assert rows(sinks.one_output(spark, out, name)) == rows(df.where(condition))
+    with pytest.raises(ValueError):
+        sinks.tagged_outputs(stream(spark, folder, "t").withColumnRenamed("k", "output"), outputs, out, checkpoint)

@@ -312,7 +312,7 @@ def test_running_trigger(spark, folder):
 
 def test_mean_after_warm_up(spark):
     timings = spark.createDataFrame(
-        [("q", i, 1, 1000 if i < 11 else 10 + i, 5, 0) for i in range(14)], sinks.PROGRESS_SCHEMA
+        [("q", i, 1, 1000 if i < 11 else 10 + i, 5, 0, {}) for i in range(14)], sinks.PROGRESS_SCHEMA
     )
     assert rows(sinks.mean_batch_ms(timings)) == [(3, 22.0)]
 
