@@ -138,26 +138,110 @@ def test_packing(spark, window):
     check_pieces(packing.pack(frame(spark, rows), default_path(BYTES), 0, window).collect(), rows, window)
 
 
-def test_windows_hold_the_proportions(spark):
-    rows = [(i, "alpha beta gamma", ["a", "b", "c"][i % 10 // 4]) for i in range(4000)]
-    got = packing.pack(frame(spark, rows), default_path(BYTES), 0, 256).collect()
-    source = {i: s for i, _, s in rows}
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_sends_every_token_once(seed):
+    """Every queue cut into runs: windows are full and gapless, and no queue strays from its share."""
+    rng = np.random.default_rng(seed)
+    for _ in range(25):
+        window, n = int(rng.integers(8, 60)), int(rng.integers(1, 7))
+        sizes = [int(rng.integers(0, 900)) for _ in range(n)]
+        weights = [int(x) for x in (rng.integers(1, 9, n) if seed % 2 else np.maximum(1, sizes))]
+        if seed % 3 == 0:
+            weights[-1] = 0
+        elif min(weights[:-1], default=sum(weights)) * window < sum(weights):
+            continue
+        phases = packing.plan(sizes, weights, window)
+        seen = defaultdict(list)
+        for q, size in enumerate(sizes):
+            cuts = np.unique(np.r_[0, rng.integers(0, size + 1, 5), size])
+            pieces = packing.Cutter(phases, q, window).cut(cuts[:-1], cuts[1:])
+            for _, place, length, sequence, offset in zip(*(c.tolist() for c in pieces)):
+                seen[sequence].append((offset, length, q, place))
+        sent, total = [0] * n, sum(sizes)
+        assert sorted(seen) == list(range(-(-total // window)))
+        for sequence in sorted(seen):
+            at = 0
+            for offset, length, q, place in sorted(seen[sequence]):
+                assert offset == at and place == sent[q]
+                at, sent[q] = at + length, sent[q] + length
+            assert at == min(window, total - sequence * window)
+            for phase in phases:  # within a phase no queue is a token away from its share
+                j = sequence + 1 - phase.first
+                if phase.amounts is None and 0 < j <= phase.count:
+                    for q in range(n):
+                        rate = phase.upto[q] - (phase.upto[q - 1] if q else 0)
+                        assert abs(sent[q] - phase.before[q] - j * window * rate / phase.upto[-1]) < 1
+        assert sent == sizes
+
+
+def test_exact_division():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        a, b = int(rng.integers(1, 1 << 55)), int(rng.integers(1, 1 << 45))
+        k = rng.integers(0, 1 << 35, 20)
+        if a // b < 1 << 20:
+            assert packing.scaled(k, a, b).tolist() == [int(x) * a // b for x in k]
+
+
+def held_by_source(pieces, source):
     held = defaultdict(Counter)
-    for r in got:
+    for r in pieces:
         held[r.sequence_id][source[r.doc_id]] += r.length
-    whole = [c for i, c in held.items() if i < len(held) - 1]
-    for name, share in (("a", 0.4), ("b", 0.4), ("c", 0.2)):
-        assert all(abs(c[name] - 256 * share) <= 24 for c in whole)
+    return [held[i] for i in range(len(held))]
 
 
-def test_weights_come_first(spark):
-    rows = [(i, "alpha beta gamma", "ab"[i % 2]) for i in range(2000)]
-    got = packing.pack(frame(spark, rows), default_path(BYTES), 0, 256, weights={"a": 3.0, "b": 1.0}).collect()
-    early = Counter()
+def test_windows_hold_the_proportions(spark, sf):
+    """On whole texts: in every window each source is within one token of its share and deficit."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    got = packing.pack(docs, default_path(BYTES), 0, 1024).collect()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    size, sent = Counter(), Counter()
+    for r in got:
+        size[source[r.doc_id]] += r.length
+    total = sum(size.values())
+    windows = held_by_source(got, source)
+    for k, held in enumerate(windows[:-1], 1):
+        for name in size:
+            sent[name] += held[name]
+            assert abs(sent[name] - k * 1024 * size[name] / total) < 1
+            assert abs(held[name] - 1024 * size[name] / total) < 2
+
+
+def test_weights_hold_while_queues_last(spark):
+    rows = [(i, "alpha beta gamma delta " * (i % 7), "abcd"[i % 4]) for i in range(2000)]
+    rows += [(5000 + i, "rare", f"s{i}") for i in range(3)]
+    weights = {"a": 3.0, "b": 1.0, "c": 0.5, "d": 0, "s0": 0.001, "s1": 0.001, "s2": 0.001}
+    got = packing.pack(frame(spark, rows), default_path(BYTES), 0, 256, weights=weights).collect()
+    check_pieces(got, rows, 256)
+    size, source = Counter(), {i: s for i, _, s in rows}
     for r in got:
-        if r.sequence_id < 10:
-            early["ab"[r.doc_id % 2]] += r.length
-    assert 2.5 < early["a"] / early["b"] < 3.5
+        size[source[r.doc_id]] += r.length
+    windows, sent, total = held_by_source(got, source), Counter(), 4.503
+    last = int(size["a"] / (256 * 3 / total))
+    assert last > 10
+    for k, held in enumerate(windows[:last], 1):
+        sent.update(held)
+        for name in "abc":
+            assert abs(sent[name] - k * 256 * weights[name] / total) < 1.1
+        assert not held["d"]
+    after = [i for i, held in enumerate(windows) if held["d"]]
+    assert after and all(set(windows[i]) == {"d"} for i in after[1:])
+
+
+def test_refused_and_missing_weights(spark):
+    rows = [(i, "alpha beta", None if i % 2 else "a") for i in range(300)]
+    with pytest.raises(ValueError):
+        packing.pack(frame(spark, rows), default_path(BYTES), 0, 64, weights={"a": -1.0})
+    got = packing.pack(frame(spark, rows), default_path(BYTES), 0, 64, weights={None: 3.0}).collect()
+    early = held_by_source(got, {i: s for i, _, s in rows})[:3]
+    assert all(abs(h[None] - 48) < 2 for h in early)
+    check_pieces(packing.pack(frame(spark, rows), default_path(BYTES), 0, 64, weights={}).collect(), rows, 64)
+
+
+def test_more_sources_than_tokens_of_a_window(spark):
+    rows = [(i, f"text {i}", f"source {i}") for i in range(400)] + [(900 + i, "one two three " * 30, "big") for i in range(40)]
+    got = packing.pack(frame(spark, rows), default_path(BYTES), 0, 32).collect()
+    check_pieces(got, rows, 32)
 
 
 def brute_targets(sizes, weights, epochs):
