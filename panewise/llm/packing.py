@@ -307,9 +307,15 @@ def pack(
                 run_, *rest = cutters[q].cut(begin[of], begin[of] + lengths[of])
                 found.append([of[run_], *rest])
             doc, place, length, sequence, offset = (np.concatenate(c) for c in zip(*found))
+            order = np.lexsort((place, doc))
+            doc, place, length, sequence, offset = (c[order] for c in (doc, place, length, sequence, offset))
+            # in this order the pieces are the documents' ids, one after the other
+            ends = np.r_[0, 4 * np.cumsum(length)].astype(np.int32)
+            buffers = [None, pa.py_buffer(ends), pa.py_buffer(np.concatenate(texts))]
+            ids = pa.Array.from_buffers(pa.binary(), len(length), buffers)
             start = place - begin[doc]
-            ids = [texts[d][a : a + n].tobytes() for d, a, n in zip(doc.tolist(), start.tolist(), length.tolist())]
             columns = [batch["doc_id"].take(pa.array(doc)), start, length, ids, lengths[doc], sequence, offset]
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+            arrays = [c if isinstance(c, pa.Array) else pa.array(c, k) for c, k in zip(columns, kinds)]
+            yield pa.record_batch(arrays, names=names)
 
     return placed.select("doc_id", "ids", "queue", "before").mapInArrow(run, PIECE)
