@@ -81,6 +81,30 @@ def word_hashes(buffer: bytes, starts: np.ndarray, ends: np.ndarray, values: np.
     return mix(h)
 
 
+def word_hash_pairs(buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both hashes of each word, as :func:`word_hashes` gives them by the two tables of byte
+    values, from one pass over the bytes."""
+    data, lengths = np.frombuffer(buffer, np.uint8), ends - starts
+    order = np.argsort(-np.minimum(lengths, LONG_WORD + 1), kind="stable")
+    size = lengths[order]
+    first = int(np.searchsorted(-size, -LONG_WORD, side="left"))
+    at, size = starts[order[first:]], size[first:]
+    h, other = size.astype(np.uint64), size.astype(np.uint64)
+    # of words in the order of length, those that have a k-th byte are the first ones
+    counts = np.searchsorted(-size, -np.arange(LONG_WORD + 1), side="left")
+    for k in range(int(size[0]) if len(size) else 0):
+        n = counts[k]
+        some = data[at[:n] + k]
+        h[:n] = h[:n] * BASE + BYTE_VALUES[some]
+        other[:n] = other[:n] * BASE + OTHER_VALUES[some]
+    out = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    for result, short, values in zip(out, (h, other), (BYTE_VALUES, OTHER_VALUES)):
+        result[order[first:]] = mix(short)
+        if first:
+            result[order[:first]] = word_hashes(buffer, starts[order[:first]], ends[order[:first]], values)
+    return out
+
+
 def word_spans(buffer: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs without ASCII white space."""
     data = np.frombuffer(buffer, np.uint8)

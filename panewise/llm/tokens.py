@@ -16,7 +16,7 @@ from itertools import chain
 
 import numpy as np
 
-from panewise.llm.hashing import OTHER_VALUES, word_hashes
+from panewise.llm.hashing import word_hash_pairs
 
 #: White space or joiners in some definition, other than the four above.
 ODD_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
@@ -92,7 +92,7 @@ class Encoder:
         begin[1:] |= stop[1:] & letter[:-1] & last[1:]
         starts = np.flatnonzero(begin)
         ends = np.r_[starts[1:], len(b)]
-        keys, checks = word_hashes(buffer, starts, ends), word_hashes(buffer, starts, ends, OTHER_VALUES)
+        keys, checks = word_hash_pairs(buffer, starts, ends)
         distinct, first, of = np.unique(keys, return_index=True, return_inverse=True)
         at = self.find(distinct, checks[first], buffer, starts[first], ends[first])
         if at is None or (checks[first][of] != checks).any():  # different pieces share a hash

@@ -64,10 +64,8 @@ def test_pieces_that_share_a_hash_are_encoded_whole(monkeypatch):
     from panewise.llm import tokens
 
     encoder = Encoder(default_path(BYTES))
-    same = lambda buffer, starts, ends, values=None: np.zeros(len(starts), np.uint64) + (
-        np.uint64(0) if values is None else starts.astype(np.uint64)
-    )
-    monkeypatch.setattr(tokens, "word_hashes", same)
+    same = lambda buffer, starts, ends: (np.zeros(len(starts), np.uint64), starts.astype(np.uint64))
+    monkeypatch.setattr(tokens, "word_hash_pairs", same)
     assert encoder.ids("one two three").tolist() == encoder.whole("one two three")
     assert encoder.ids(None).tolist() == encoder.ids("").tolist() == []
 
@@ -322,3 +320,15 @@ def test_registered_queries(spark, sf):
         assert r.doc_tokens == len(ids)
         assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
     assert sum(r.length for r in got) == sum(len(ids_of(BYTES, t, 0)) for t in texts.values())
+
+
+def test_hash_pairs_are_the_two_hashes():
+    from panewise.llm import hashing
+
+    rng = np.random.default_rng(9)
+    for sizes in ([], [0], [1, 48, 49, 47, 0, 5000, 3, 3], rng.integers(0, 60, 300).tolist()):
+        ends = np.cumsum(np.array(sizes, np.int64))
+        starts, buffer = ends - np.array(sizes, np.int64), rng.bytes(sum(sizes))
+        found = hashing.word_hash_pairs(buffer, starts, ends)
+        want = [hashing.word_hashes(buffer, starts, ends, v) for v in (hashing.BYTE_VALUES, hashing.OTHER_VALUES)]
+        assert all((a == b).all() for a, b in zip(found, want))
