@@ -58,12 +58,21 @@ def fresh(seed: int = 7) -> Weights:
     )
 
 
+def block_count(size: int) -> int:
+    return max(1, -(-size // (BLOCK * STRIDE)))
+
+
 class Layout:
-    """Texts one after the other, padded, and where their blocks and chunks are."""
+    """Texts one after the other, padded, and where their blocks and chunks are.
 
-    def __init__(self, texts: list[bytes]):
+    ``blocks`` are those of each text; the bytes behind its last block are what its last
+    windows look ahead to.
+    """
+
+    def __init__(self, texts: list[bytes], blocks: np.ndarray | None = None):
         span = BLOCK * STRIDE
-        blocks = np.array([max(1, -(-len(t) // span)) for t in texts])
+        if blocks is None:
+            blocks = np.array([block_count(len(t)) for t in texts])
         # the gap keeps a window of one text from seeing the next
         sizes = blocks * span + WIDTH
         self.starts = np.cumsum(sizes) - sizes
@@ -101,17 +110,46 @@ def pooled(layout: Layout, chunk_values: np.ndarray) -> tuple[np.ndarray, np.nda
     return most, mean.astype(chunk_values.dtype)
 
 
-def scores(w: Weights, texts: list[bytes]) -> np.ndarray:
-    """Probability of label 1 for each text."""
-    layout = Layout(texts)
+def hidden_values(w: Weights, layout: Layout) -> np.ndarray:
+    """Hidden values of every chunk."""
     outputs = convolved(w, layout.bytes)
     edges = np.stack([layout.windows, np.minimum(layout.windows + BLOCK, len(outputs) - 1)], axis=1).ravel()
     blocks = np.maximum(np.maximum.reduceat(outputs, edges, axis=0)[::2], 0)
-    hidden = np.maximum(blocks[layout.chunks].max(axis=1) @ w.hidden + w.hidden_bias, 0)
-    logits = np.concatenate(pooled(layout, hidden), axis=1) @ w.out + w.out_bias
+    return np.maximum(blocks[layout.chunks].max(axis=1) @ w.hidden + w.hidden_bias, 0)
+
+
+def probability(w: Weights, most: np.ndarray, mean: np.ndarray) -> np.ndarray:
+    logits = np.concatenate([most, mean], axis=1) @ w.out + w.out_bias
     return 1 / (1 + np.exp(-logits.astype(np.float64)))
 
 
+def scores(w: Weights, texts: list[bytes]) -> np.ndarray:
+    """Probability of label 1 for each text."""
+    layout = Layout(texts)
+    return probability(w, *pooled(layout, hidden_values(w, layout)))
+
+
+def long_score(w: Weights, text: bytes) -> float:
+    """The same for one text, in stretches of whole chunks of about ``SCORE_BYTES``.
+
+    Stretches share the block at which they meet, as chunks do, and only the largest values
+    and the sums are kept, so that memory does not grow with the text.
+    """
+    span, blocks, at = BLOCK * STRIDE, block_count(len(text)), 0
+    chunks = max(1, SCORE_BYTES // (span * (CHUNK - 1)))
+    most, total, count = np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN), 0
+    while True:
+        left = blocks - at
+        own = left if left <= chunks * (CHUNK - 1) + 1 else chunks * (CHUNK - 1) + 1
+        layout = Layout([text[at * span : (at + own) * span + WIDTH]], np.array([own]))
+        hidden = hidden_values(w, layout)
+        most, total, count = np.maximum(most, hidden.max(axis=0)), total + hidden.sum(axis=0), count + len(hidden)
+        if own == left:
+            mean = (total / count).astype(np.float32)
+            return float(probability(w, most[None], mean[None])[0])
+        at += own - 1
+
+
 def gradients(w: Weights, texts: list[bytes], labels: np.ndarray, importance: np.ndarray) -> list[np.ndarray]:
     """Gradient of the weighted log loss, in the order of the weights."""
     layout = Layout(texts)
@@ -130,8 +168,8 @@ def gradients(w: Weights, texts: list[bytes], labels: np.ndarray, importance: np
     hidden = np.maximum(before, 0)
     most, mean = pooled(layout, hidden)
     document = np.concatenate([most, mean], axis=1)
-    probability = 1 / (1 + np.exp(-(document @ w.out + w.out_bias)))
-    d_logit = ((probability - labels) * importance / importance.sum()).astype(np.float32)
+    chance = 1 / (1 + np.exp(-(document @ w.out + w.out_bias)))
+    d_logit = ((chance - labels) * importance / importance.sum()).astype(np.float32)
     d_document = d_logit[:, None] * w.out
     text_of = np.repeat(np.arange(len(texts)), layout.chunk_counts)
     d_hidden = d_document[text_of, HIDDEN:] / layout.chunk_counts[text_of, None]
@@ -224,7 +262,7 @@ def with_score(docs: DataFrame, model: Weights | float, text_column: str = "text
     def batches(texts: list[bytes]) -> Iterator[list[bytes]]:
         some, size = [], 0
         for text in texts:
-            if some and size + len(text) > SCORE_BYTES:
+            if some and size + len(text) > SCORE_BYTES:  # a longer text goes alone
                 yield some
                 some, size = [], 0
             some.append(text)
@@ -235,7 +273,11 @@ def with_score(docs: DataFrame, model: Weights | float, text_column: str = "text
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         data = [(t or "").encode() for t in texts]
-        return pd.Series(np.concatenate([np.zeros(0)] + [scores(model, some) for some in batches(data)]))
+        parts = [
+            scores(model, some) if len(some[0]) <= SCORE_BYTES else np.array([long_score(model, some[0])])
+            for some in batches(data)
+        ]
+        return pd.Series(np.concatenate([np.zeros(0), *parts]))
 
     return docs.withColumn(name, score(F.col(f"`{text_column}`").cast("string")))
 

@@ -4,13 +4,15 @@ A segment holds the ids of consecutive documents, one after the other, in 16 or
 each, and where each document ends as an Elias-Fano sequence: the low bits of every end
 side by side, the high parts in unary, and the place of every 64th set bit, from which
 ``select`` finds any boundary. That takes about 2 + log2(ids per document) bits for a
-document. Segments are rows of a Parquet table in ascending order of document, written by
+document. The ids of documents, which ascend too, are a second sequence of that kind, less the
+first of them, and a document is found in it by bisection. Segments are rows of a Parquet table in ascending order of document, written by
 Spark's committer, so a lost task leaves no half-written file.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,10 @@ SEGMENT_IDS, SHARD_BYTES = 1 << 20, 16 << 20
 #: Documents encoded at once; boundaries per sampled place.
 ROWS_AT_ONCE, SAMPLE = 512, 64
 SEGMENT = (
-    "shard int, segment int, n_docs int, n_ids long, ids binary, doc_ids binary, known binary, "
-    "low_bits int, low binary, high binary, samples binary"
+    "shard int, segment int, n_docs int, n_ids long, ids binary, "
+    "low_bits int, low binary, high binary, samples binary, "
+    "first_id long, last_id long, n_known int, "
+    "id_low_bits int, id_low binary, id_high binary, id_samples binary"
 )
 
 
@@ -41,10 +45,10 @@ class EliasFano:
     def of(cls, values: np.ndarray, universe: int) -> EliasFano:
         n = len(values)
         low_bits = max(0, int(math.log2(universe / n))) if n and universe > n else 0
-        values = values.astype(np.int64)
-        shifts = np.arange(low_bits)
-        low = np.packbits((values[:, None] >> shifts & 1).astype(np.uint8).ravel(), bitorder="little")
-        ones = (values >> low_bits) + np.arange(n)
+        values = values.astype(np.uint64)
+        shifts = np.arange(low_bits, dtype=np.uint64)
+        low = np.packbits((values[:, None] >> shifts & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little")
+        ones = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         high = np.zeros(int(ones[-1]) + 1 if n else 0, np.uint8)
         high[ones] = 1
         return cls(
@@ -68,12 +72,20 @@ class EliasFano:
             low |= (self.low[(at + b) // 8] >> (at + b) % 8 & 1) << b
         return (one - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every value."""
-        ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        bits = np.unpackbits(np.frombuffer(self.low, np.uint8), count=self.n * self.low_bits, bitorder="little")
-        low = bits.reshape(self.n, self.low_bits) @ (1 << np.arange(self.low_bits)) if self.low_bits else 0
-        return ((ones - np.arange(self.n)) << self.low_bits) + low
+    def find(self, value: int) -> range:
+        """The places of ``value``, by bisection over ``select``."""
+        first = bisect_left(range(self.n), value, key=self.select)
+        return range(first, bisect_right(range(self.n), value, lo=first, key=self.select))
+
+
+def bounds_of(row: dict) -> EliasFano:
+    """Where the documents of a segment end."""
+    return EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
+
+
+def ids_of(row: dict) -> EliasFano:
+    """The known ids of a segment's documents, less its first one."""
+    return EliasFano(row["n_known"], row["id_low_bits"], row["id_low"], row["id_high"], row["id_samples"])
 
 
 def write_tokens(
@@ -106,11 +118,13 @@ def write_tokens(
         def flush() -> pa.RecordBatch:
             ends = np.cumsum([len(p) for p in parts])
             bounds = EliasFano.of(ends, int(ends[-1]))
-            known = np.packbits([d is not None for d in doc_ids]).tobytes()
-            ids = np.array([d or 0 for d in doc_ids], "<i8").tobytes()
+            known = [d for d in doc_ids if d is not None]  # the first ones
+            first, last = (known[0], known[-1]) if known else (None, None)
+            places = EliasFano.of(np.array([d - first for d in known], np.uint64), last - first if known else 0)
             values = (
-                shard, segment, len(parts), int(ends[-1]), packed(np.concatenate(parts)), ids, known,
-                bounds.low_bits, bounds.low, bounds.high, bounds.samples,
+                shard, segment, len(parts), int(ends[-1]), packed(np.concatenate(parts)),
+                bounds.low_bits, bounds.low, bounds.high, bounds.samples, first, last, len(known),
+                places.low_bits, places.low, places.high, places.samples,
             )
             kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
             types = [kinds[f.split()[1]] for f in SEGMENT.split(", ")]
@@ -152,16 +166,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                bounds = EliasFano(row["n_docs"], row["low_bits"], row["low"], row["high"], row["samples"])
-                ends = bounds.all()
+                bounds, places, n = bounds_of(row), ids_of(row), row["n_docs"]
+                ends = np.array([bounds.select(i) for i in range(n)], np.int64)
                 begins = np.r_[0, ends[:-1]]
-                ids, n = unpacked(row["ids"]), row["n_docs"]
-                known = np.unpackbits(np.frombuffer(row["known"], np.uint8), count=n).astype(bool)
+                ids = unpacked(row["ids"])
+                doc_ids = [row["first_id"] + places.select(i) if i < row["n_known"] else None for i in range(n)]
                 yield pa.record_batch(
                     [
                         pa.array([row["shard"]] * n, pa.int32()),
                         pa.array([row["segment"]] * n, pa.int32()),
-                        pa.array(np.frombuffer(row["doc_ids"], "<i8"), mask=~known),
+                        pa.array(doc_ids, pa.int64()),
                         pa.array(begins, pa.int64()),
                         pa.array(ends - begins, pa.int64()),
                         pa.array([ids[a:b].tobytes() for a, b in zip(begins, ends)], pa.binary()),
@@ -175,3 +189,31 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return digest.join(starts, ["shard", "segment"]).select(
         "doc_id", (F.col("segment_start") + F.col("place")).alias("start"), "n_tokens", "ids", "crc"
     )
+
+
+def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id, n_tokens and ids (little-endian unsigned 32 bits) of the documents asked for.
+
+    Only segments whose ids span one of ``doc_ids`` are opened; in those a document is found
+    by bisection and its ids by two boundaries, and nothing else is decoded. Ids that are not
+    there give no row, repeated ones as many as there are documents.
+    """
+    wanted = sorted({int(i) for i in doc_ids})
+    spanned = F.exists(F.lit(wanted).cast("array<long>"), lambda i: i.between(F.col("first_id"), F.col("last_id")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                bounds, places, out = bounds_of(row), ids_of(row), []
+                ids = unpacked(row["ids"])
+                for doc_id in wanted[bisect_left(wanted, row["first_id"]) : bisect_right(wanted, row["last_id"])]:
+                    for i in places.find(doc_id - row["first_id"]):
+                        begin = bounds.select(i - 1) if i else 0
+                        own = ids[begin : bounds.select(i)]
+                        out.append((doc_id, len(own), own.tobytes()))
+                columns = list(zip(*out)) or [(), (), ()]
+                kinds = (pa.int64(), pa.int64(), pa.binary())
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n_tokens", "ids"])
+
+    segments = spark.read.schema(SEGMENT).parquet(path).where(spanned if wanted else F.lit(False))
+    return segments.mapInArrow(run, "doc_id long, n_tokens long, ids binary")

@@ -59,6 +59,21 @@ def test_score_is_of_the_text_alone():
     assert together == pytest.approx(alone, abs=1e-6)
 
 
+@pytest.mark.parametrize("bound", [1, 400, 2000, 1 << 18])
+def test_long_texts_in_stretches(monkeypatch, bound):
+    """Any stretch length gives the score of the text in one piece, within bounded memory."""
+    monkeypatch.setattr(quality, "SCORE_BYTES", bound)
+    w, rng = quality.fresh(5), np.random.default_rng(6)
+    for n in (0, 1, 191, 192, 193, 383, 384, 577, 768, 769, 5000, 20011):
+        text = rng.bytes(n)
+        assert quality.long_score(w, text) == pytest.approx(quality.scores(w, [text])[0], abs=1e-6)
+    seen = []
+    layout = quality.Layout.__init__
+    monkeypatch.setattr(quality.Layout, "__init__", lambda self, t, b=None: (seen.append(len(t[0])), layout(self, t, b))[1])
+    quality.long_score(w, rng.bytes(1 << 20))
+    assert max(seen) <= bound + 4 * quality.BLOCK * quality.STRIDE
+
+
 def test_chunks_cover_every_block():
     for n in (0, 1, 192, 600, 5000, 5001):
         layout = quality.Layout([b"x" * n, b"y" * 300])

@@ -79,8 +79,9 @@ def test_packed_ids():
 def test_elias_fano(n, most):
     values = np.sort(np.random.default_rng(n).integers(0, most + 1, n))
     found = EliasFano.of(values, most)
-    assert found.all().tolist() == values.tolist()
     assert [found.select(i) for i in range(n)] == values.tolist()
+    for v in [0, most, *values.tolist()[:40]]:
+        assert list(found.find(v)) == np.flatnonzero(values == v).tolist()
     if n == 500 and most > 1000:
         bits = 8 * (len(found.low) + len(found.high) + len(found.samples))
         assert bits / n < np.log2(most / n) + 4
@@ -332,3 +333,30 @@ def test_hash_pairs_are_the_two_hashes():
         found = hashing.word_hash_pairs(buffer, starts, ends)
         want = [hashing.word_hashes(buffer, starts, ends, v) for v in (hashing.BYTE_VALUES, hashing.OTHER_VALUES)]
         assert all((a == b).all() for a, b in zip(found, want))
+
+
+def test_wide_ids_fit():
+    values = np.array([0, 5, 2**40, 2**63 + 3, 2**64 - 1], np.uint64)
+    found = EliasFano.of(values, 2**64 - 1)
+    assert [found.select(i) for i in range(5)] == [int(v) for v in values]
+    assert list(found.find(2**63 + 3)) == [3] and not list(found.find(7))
+
+
+def test_lookup_by_id(spark, tmp_path, monkeypatch):
+    """Over several shards and segments, with negative, far, repeated and null ids."""
+    monkeypatch.setattr(token_files, "SEGMENT_IDS", 60)
+    monkeypatch.setattr(token_files, "SHARD_BYTES", 300)
+    ids = [-(2**63), -5, *range(0, 300, 3), 2**62, 2**63 - 1, 30, 30, None, None]
+    rows = [(i, f"text of {i} and {k}", "s") for k, i in enumerate(ids)]
+    path = str(tmp_path / "files")
+    token_files.write_tokens(frame(spark, rows), path, default_path(WORDS), 2)
+    segments = spark.read.parquet(path)
+    assert segments.count() > 8 and segments.select("shard").distinct().count() > 1
+    read = token_files.read_tokens(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in read] == sorted((i for i in ids if i is not None)) + [None, None]
+    encode = Encoder(default_path(WORDS))
+    want = Counter((i, tuple([*encode.whole(t), 2])) for i, t, _ in rows if i in (-(2**63), -5, 3, 30, 2**63 - 1))
+    got = token_files.lookup(spark, path, [3, 30, 4, -5, 2**63 - 1, -(2**63), 1000]).collect()
+    assert Counter((r.doc_id, tuple(np.frombuffer(r.ids, "<u4").tolist())) for r in got) == want
+    assert all(r.n_tokens == len(r.ids) // 4 for r in got)
+    assert token_files.lookup(spark, path, []).collect() == [] == token_files.lookup(spark, path, [1]).collect()
