@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -109,8 +110,35 @@ def replicas(prints: np.ndarray, code: list[int], threshold: int) -> tuple[np.nd
     return np.concatenate(anchors), prints[places], np.arange(len(places)) < len(prints)
 
 
+def flips(threshold: int) -> np.ndarray:
+    """Every way to change one to ``threshold`` bits."""
+    bits = [np.uint64(1) << np.uint64(i) for i in range(64)]
+    ways = [sum(c, np.uint64(0)) for n in range(1, threshold + 1) for c in combinations(bits, n)]
+    return np.array(ways, np.uint64)
+
+
+def join_parts(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Give what the pairs connect the smallest label of its part."""
+    while len(a):
+        x, y = label[a], label[b]
+        open_pairs = x != y
+        if not open_pairs.any():
+            return
+        a, b, x, y = a[open_pairs], b[open_pairs], x[open_pairs], y[open_pairs]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label[label] != label).any():
+            label[:] = label[label]
+
+
 def stars(anchors: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fingerprint, smallest of its part) that connect what the cells connect."""
+    """Links (fingerprint, smallest of its part) that connect what the cells connect.
+
+    A fingerprint is compared with those at home in its cell. Where these are more than the
+    ways to change ``threshold`` bits, as in a cell with a tight cluster, it goes by the finest
+    of all codes instead, in which every fingerprint is an anchor: each way is looked up among
+    the fingerprints at hand. So the work of a cell grows with its fingerprints, not with
+    their square.
+    """
     nodes, node = np.unique(prints, return_inverse=True)
     label = np.arange(len(nodes))
     order = np.argsort(anchors, kind="stable")
@@ -118,6 +146,18 @@ def stars(anchors: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold:
     at_home = np.flatnonzero(home)
     low = np.searchsorted(anchors[at_home], anchors, side="left")
     counts = np.searchsorted(anchors[at_home], anchors, side="right") - low
+    ways = max(1, sum(comb(64, n) for n in range(1, threshold + 1)))
+    crowded = np.unique(node[counts > ways])
+    if len(crowded):
+        changes = flips(threshold)
+        at_once = max(1, PAIRS_AT_ONCE // ways)
+        for i in range(0, len(crowded), at_once):
+            some = crowded[i : i + at_once]
+            sought = (nodes[some][:, None] ^ changes).ravel()
+            place = np.minimum(np.searchsorted(nodes, sought), len(nodes) - 1)
+            found = np.flatnonzero(nodes[place] == sought)
+            join_parts(label, some[found // ways], place[found])
+        counts = np.where(counts > ways, 0, counts)
     total, done = np.cumsum(counts), 0
     while done < len(counts):
         base = total[done] - counts[done]
@@ -127,16 +167,7 @@ def stars(anchors: np.ndarray, prints: np.ndarray, home: np.ndarray, threshold:
         step = np.arange(len(left)) - np.repeat(np.cumsum(some) - some, some)
         right = node[at_home[np.repeat(low[done:upto], some) + step]]
         near = (np.bitwise_count(nodes[left] ^ nodes[right]) <= threshold) & (left != right)
-        a, b = left[near], right[near]
-        while len(a):  # joins the parts that these pairs connect
-            x, y = label[a], label[b]
-            open_pairs = x != y
-            if not open_pairs.any():
-                break
-            a, b, x, y = a[open_pairs], b[open_pairs], x[open_pairs], y[open_pairs]
-            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-            while (label[label] != label).any():
-                label = label[label]
+        join_parts(label, left[near], right[near])
         done = upto
     linked = np.flatnonzero(label != np.arange(len(nodes)))
     return nodes[linked], nodes[label[linked]]

@@ -181,6 +181,42 @@ def test_every_code_covers(code, threshold, monkeypatch):
     assert groups(parent) == groups(want)
 
 
+@pytest.mark.parametrize("threshold", [0, 1, 2])
+def test_tight_cluster_goes_by_a_finer_code(monkeypatch, threshold):
+    """More distinct fingerprints in a cell than ways to change the bits, and some elsewhere."""
+    monkeypatch.setattr(simhash, "PAIRS_AT_ONCE", 20_000)
+    rng = np.random.default_rng(7)
+    base = np.uint64(0x0123456789ABCDEF)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(2600)]
+    prints = np.unique(np.array([int(base) ^ f for f in flips] + rng.integers(0, 2**63, 50).tolist(), np.uint64))
+    code = [64 - 1, 1]  # nearly all lie in one cell
+    a, b = simhash.stars(*simhash.replicas(prints, code, threshold), threshold)
+    parent = {int(p): int(p) for p in prints}
+    parent.update(zip(a.tolist(), b.tolist()))
+    known, part = set(map(int, prints)), {}
+    masks = [int(m) for m in simhash.flips(threshold)] if threshold else []
+    for p in sorted(known):
+        if p in part:
+            continue
+        part[p], todo = p, [p]
+        while todo:
+            x = todo.pop()
+            for m in masks:
+                if x ^ m in known and x ^ m not in part:
+                    part[x ^ m] = p
+                    todo.append(x ^ m)
+    by = lambda of: sorted(tuple(sorted(v)) for v in _inverted(of))
+    assert by(parent) == by(part)
+    assert threshold < 2 or max(map(len, by(part))) > 2080
+
+
+def _inverted(of):
+    parts = {}
+    for p, root in of.items():
+        parts.setdefault(root, []).append(p)
+    return parts.values()
+
+
 def test_code_grows_with_the_corpus():
     sizes = [len(simhash.code_for(n)) for n in (1, 20_000, 300_000, 10**9, 10**13)]
     assert sizes == sorted(sizes)
