@@ -74,13 +74,16 @@ def mix(
     of all documents; a source gives at most ``epochs`` times its size. The words taken
     from a source are its target, rounded down. The order of documents depends on their
     ids alone (texts where the id is null), so reruns agree; of rows with equal ids the
-    shorter comes first. Null and empty texts have size 0 and give nothing; a null source
-    is a source. Empty tables give no rows. ``keep_text`` keeps the other columns.
+    shorter comes first, then a hash of the text decides. Null and empty texts have size 0 and give nothing; a null source
+    is a source. Empty tables give no rows. ``keep_text`` keeps the columns of ``docs``, none
+    of which may then start with two underscores.
     """
     named = F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit(""))
     sized = docs.select(
         *[F.col(f"`{c}`") for c in (docs.columns if keep_text else ["doc_id", "source"])],
-        F.struct(word_count("text").alias("size"), F.md5(named).alias("key")).alias("__mix"),
+        F.struct(
+            word_count("text").alias("size"), F.md5(named).alias("key"), F.xxhash64("text").alias("tie")
+        ).alias("__mix"),
     )
     sized = staged(sized, "mixing")
     parts = max(1, -(-sized.count() // RANGE_ROWS))
@@ -103,7 +106,7 @@ def mix(
         F.struct("source_size", "target", "budget").alias("__goal"),
     )
     ranges = starts.join(goal, F.col("__at.source") == F.col("key")).select("__at", "__start", "__goal")
-    inside = Window.partitionBy("__at").orderBy("__mix.key", "doc_id", "__mix.size")
+    inside = Window.partitionBy("__at").orderBy("__mix.key", "doc_id", "__mix.size", "__mix.tie")
     before = F.sum("__mix.size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = rows.join(ranges, "__at").withColumn("__end", F.col("__start") + before)
     size, source_size, budget = F.col("__mix.size"), F.col("__goal.source_size"), F.col("__goal.budget")
@@ -134,13 +137,16 @@ def mix(
 def take(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), epochs: int = 3) -> DataFrame:
     """The mixed documents themselves, with the columns of ``docs``.
 
-    A document taken n times gives n equal rows; of the one at the end
-    of a budget only the words taken stay, joined by a space. Documents of which nothing is taken give no row.
+    A document taken n times gives n equal rows; of the one at the end of a budget only the
+    words taken stay, joined by a space. Documents of which nothing is taken, null and empty
+    ones among them, give no row. Other columns may have any names.
     """
-    mixed = mix(docs, weights, epochs, keep_text=True)
+    others = [F.col(f"`{c}`").alias(c) for c in docs.columns if c != "text"]
+    held = docs.select("doc_id", "source", "text", F.struct(*others).alias("others"))
+    mixed = mix(held, weights, epochs, keep_text=True)
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     first_words = F.array_join(F.slice(words, F.lit(1), F.col("__mix.part").cast("int")), " ")
     copies = F.sequence(F.lit(1), F.col("__mix.whole") + F.when(F.col("__mix.part") > 0, 1).otherwise(0))
     rows = mixed.where((F.col("__mix.whole") > 0) | (F.col("__mix.part") > 0)).withColumn("__copy", F.explode(copies))
     cut = F.when(F.col("__copy") > F.col("__mix.whole"), first_words).otherwise(F.col("text"))
-    return rows.withColumn("text", cut).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.select(*[cut.alias(c) if c == "text" else F.col("others").getField(c).alias(c) for c in docs.columns])

@@ -81,6 +81,29 @@ def test_pack_holds_every_document(stages):
     assert heads == copies
 
 
+CLASHING = ("score", "row", "others", "__score", "__mix", "__at", "__start", "__copy", "__goal", "key", "a.b", "uid", "number")
+
+
+def test_stages_with_clashing_columns(spark):
+    """Columns with the names of inner ones pass through, and odd rows do no harm."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, "
+    schema += ", ".join(f"`{c}` int" for c in CLASHING)
+    texts = ["some plain words about things", None, "", "one line\nanother line", "one line\nanother line\nmore of it"]
+    rows = [(i, t, "en", "s" if i % 2 else None, 5, *range(len(CLASHING))) for i, t in enumerate(texts)]
+    rows += [rows[0], (None, "no id", None, None, None, *range(len(CLASHING)))]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DATA)
+        assert got.columns == docs.columns, name
+        assert all(tuple(r[5:]) == tuple(range(len(CLASHING))) for r in got.collect()), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count() >= len(rows)
+
+
+def test_stages_of_an_empty_table(spark, stages):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, stages[0].limit(0), DATA).count() == 0, name
+
+
 def test_run(spark, stages):
     got = corpus_pipeline.run(spark, DATA)
     assert Counter(map(tuple, got.collect())) == Counter(map(tuple, stages[-1].collect()))
