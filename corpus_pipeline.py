@@ -20,10 +20,15 @@ SHINGLE, THRESHOLD = 3, 2
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier gives at least an even chance; every text is read whole."""
+    """Documents that the classifier gives at least an even chance; every text is read whole.
+
+    Null and empty texts are scored like any other; repeated rows go or stay together. An
+    empty table stays empty.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    kept = quality.with_score(docs, model, name="__score").where(F.col("__score") >= 0.5)
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row"), "text")
+    kept = quality.with_score(rows, model).where(F.col("score") >= 0.5)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,14 +65,22 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The sources at weights 5, 2, 1 in turn, at most three times each."""
+    """The sources at weights 5, 2, 1 in turn, at most three times each.
+
+    Null and empty texts give nothing, a null source is a source, rows of one id go by length
+    and a hash of the text. An empty table stays empty.
+    """
     mixed = mixing.take(docs, weights=(5, 2, 1), epochs=3)
     counted = mixed.withColumn("n_chars", F.length("text").cast("long"))
     return counted.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens, each with the sources' shares of all tokens.
+
+    Null and empty texts are their end id, rows of one id are documents of their own. An empty
+    table gives no pieces.
+    """
     pieces = packing.pack(docs, default_path("byte_bpe_50k.json"), end_id=0, window=1024)
     columns = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(*columns)
