@@ -19,9 +19,9 @@ from panewise.llm.chunks import (
     Answers,
     Chunk,
     Keys,
+    Later,
+    Shared,
     in_chunks,
-    judge_later,
-    judge_shared,
     passes,
     send_documents,
     send_shared,
@@ -77,14 +77,15 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_column: str = "doc_id", te
     """
     if words < SEED_WORDS:
         raise ValueError(f"repeats must have at least {SEED_WORDS} words")
-    chunks, bits = in_chunks(docs, id_column, text_column)
+    chunks, routing = in_chunks(docs, id_column, text_column)
+    bits = routing.bits
 
     def send_seeds(table, answers):
         return send_shared(Seeds(table, words).seeds, bits)
 
     def send_extensions(table, answers):
         seeds = Seeds(table, words)
-        return send_documents(seeds.extensions(answers, bits)[1], seeds.chunk.ids, bits)
+        return send_documents(seeds.extensions(answers, bits)[1], seeds.chunk.ids, routing)
 
     def finish(table: pa.Table, answers: Answers) -> pa.Table:
         if not table.num_rows:
@@ -112,5 +113,5 @@ def drop_repeats(docs: DataFrame, words: int = 13, id_column: str = "doc_id", te
             schema=KEPT,
         )
 
-    steps = [(send_seeds, judge_shared), (send_extensions, judge_later)]
-    return passes(chunks, steps, finish, "doc_id long, n_words long, n_removed long, text string")
+    steps = [(send_seeds, Shared), (send_extensions, Later)]
+    return passes(chunks, routing, steps, finish, "doc_id long, n_words long, n_removed long, text string")

@@ -28,9 +28,10 @@ from panewise.llm.chunks import (
     Answers,
     Chunk,
     Keys,
+    Later,
+    LaterOrMixed,
+    Shared,
     in_chunks,
-    judge_later,
-    judge_shared,
     passes,
     send_documents,
     send_shared,
@@ -47,10 +48,6 @@ KEPT = pa.schema(
 )
 
 
-def settle_or_open(payloads: list[bytes]) -> list[bytes]:
-    return judge_later(payloads, mixed=True)
-
-
 class Suffixes:
     """Winnowed suffixes of a chunk, with the first and the last string that chose them."""
 
@@ -188,22 +185,23 @@ def drop_repeated_bytes(docs: DataFrame, depth: int = 50, id_column: str = "doc_
     """
     if not 2 * FIRST_DIGIT <= depth:
         raise ValueError(f"depth must be at least {2 * FIRST_DIGIT}")
-    chunks, bits = in_chunks(docs, id_column, text_column)
+    chunks, routing = in_chunks(docs, id_column, text_column)
+    bits = routing.bits
 
     def send_digits(table, answers):
         return send_shared(Suffixes(table, depth).digits, bits)
 
     def send_rest(table, answers):
         suffixes = Suffixes(table, depth)
-        return send_documents(suffixes.second(answers, bits)[1], suffixes.chunk.ids, bits)
+        return send_documents(suffixes.second(answers, bits)[1], suffixes.chunk.ids, routing)
 
     def send_stretches(table, answers):
         suffixes = Suffixes(table, depth)
-        return send_documents(Stretches(suffixes, answers, bits).keys, suffixes.chunk.ids, bits)
+        return send_documents(Stretches(suffixes, answers, bits).keys, suffixes.chunk.ids, routing)
 
     def send_strings(table, answers):
         suffixes = Suffixes(table, depth)
-        return send_documents(Stretches(suffixes, answers, bits).strings()[3], suffixes.chunk.ids, bits)
+        return send_documents(Stretches(suffixes, answers, bits).strings()[3], suffixes.chunk.ids, routing)
 
     def finish(table: pa.Table, answers: Answers) -> pa.Table:
         if not table.num_rows:
@@ -244,10 +242,10 @@ def drop_repeated_bytes(docs: DataFrame, depth: int = 50, id_column: str = "doc_
         return pa.table([pa.array(c) if isinstance(c, np.ndarray) else c for c in columns], schema=KEPT)
 
     steps = [
-        (send_digits, judge_shared),
-        (send_rest, settle_or_open),
-        (send_stretches, settle_or_open),
-        (send_strings, judge_later),
+        (send_digits, Shared),
+        (send_rest, LaterOrMixed),
+        (send_stretches, LaterOrMixed),
+        (send_strings, Later),
     ]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
-    return passes(chunks, steps, finish, schema)
+    return passes(chunks, routing, steps, finish, schema)

@@ -119,6 +119,56 @@ def test_small_chunks_change_nothing(spark, docs, monkeypatch, chunk):
     assert before == after
 
 
+@pytest.mark.parametrize("bucket, levels", [(1 << 12, 2), (1 << 10, 3)])
+def test_relays_change_nothing(spark, docs, monkeypatch, bucket, levels):
+    from panewise.llm import chunks
+
+    df = frame(spark, docs)
+    operators = (substrings.drop_repeats, suffixes.drop_repeated_bytes)
+    before = [ordered(f(df).collect()) for f in operators]
+    for name, value in (("CHUNK_BYTES", 1 << 10), ("FAN_BITS", 2), ("BUCKET_BYTES", bucket)):
+        monkeypatch.setattr(chunks, name, value)
+    assert chunks.in_chunks(df, "doc_id", "text")[1].levels == levels
+    assert [ordered(f(df).collect()) for f in operators] == before
+
+
+def shuffled_rows(plan):
+    """Rows that the exchanges of a finished plan have written, reused ones once."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return shuffled_rows(plan.executedPlan())
+    if name == "ReusedExchange":
+        return 0
+    if "QueryStage" in name:
+        return shuffled_rows(plan.plan())
+    found = plan.metrics().get("shuffleRecordsWritten")
+    below = plan.children()
+    total = found.get().value() if found.isDefined() else 0
+    return total + sum(shuffled_rows(below.apply(i)) for i in range(below.size()))
+
+
+@pytest.mark.parametrize("operator", [substrings.drop_repeats, suffixes.drop_repeated_bytes])
+def test_rows_exchanged_grow_with_the_text(spark, monkeypatch, operator):
+    """Sizes scaled down together: eight times the text needs more levels."""
+    from panewise.llm import chunks
+
+    for name, value in (("CHUNK_BYTES", 1 << 10), ("FAN_BITS", 2), ("BUCKET_BYTES", 1 << 14)):
+        monkeypatch.setattr(chunks, name, value)
+    rows, levels = [], []
+    for n in (200, 1600):
+        rng = random.Random(n)
+        shared = " ".join(f"s{rng.randrange(10**6)}" for _ in range(20))
+        texts = [" ".join([f"w{rng.randrange(10**6)}" for _ in range(20)] + [shared] * (i % 3 == 0)) for i in range(n)]
+        df = frame(spark, list(enumerate(texts)))
+        levels.append(chunks.in_chunks(df, "doc_id", "text")[1].levels)
+        out = operator(df)
+        out.collect()
+        rows.append(shuffled_rows(out._jdf.queryExecution().executedPlan()) / n)
+    assert levels[0] == 1 < levels[1]
+    # a level more adds the same number of rows for each document; buckets by chunks would quadruple it
+    assert all(r <= 1.15 * rows[0] * level / levels[0] for r, level in zip(rows, levels)), (rows, levels)
+
+
 def brute_fingerprint(text, shingle):
     words = re.findall(rb"[^\x20\x09-\x0d]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not words:
