@@ -1,9 +1,10 @@
 """Cutting inputs into slices."""
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from panewise.session import shared_folder
+from panewise.session import remove_folder, shared_folder
 from panewise.sources import slices
 from panewise.plans import inputs
 from tests.conftest import final_plan, rows
@@ -84,3 +85,13 @@ def test_line_index_does_not_shuffle_lines(spark):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
     lines = [x for x in text.split("\n") if "Exchange" in x]
     assert all("__file" in x or "SinglePartition" in x or "Broadcast" in x for x in lines), lines
+
+
+def test_removed_folder(spark):
+    """A folder of the shared place goes with all it holds; one that is not there does no harm."""
+    path = shared_folder(spark, "gone")
+    spark.range(5).write.parquet(path)
+    remove_folder(spark, path)
+    remove_folder(spark, path)
+    with pytest.raises(AnalysisException, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
