@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from panewise.llm.components import roots
 from panewise.llm.hashing import mix
-from panewise.llm.tables import staged
+from panewise.llm.tables import discard, staged
 
 SEED = 42
 #: Shingle hashes counted at once, entries sent at once, and pairs compared at once.
@@ -237,13 +237,15 @@ def near_groups(
     """
     prints = staged(fingerprints(docs, shingle, id_column, text_column), "simhash")
     distinct = staged(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least")), "simhash")
-    hung = roots(links(distinct, threshold)).withColumnRenamed("node", "fingerprint")
+    tree = roots(links(distinct, threshold))
+    hung = tree.withColumnRenamed("node", "fingerprint")
     parts = distinct.join(hung, "fingerprint", "left").select(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     smallest = staged(parts.groupBy("root").agg(F.min("least").alias("component_id")), "simhash")
     named = parts.select("fingerprint", "root").join(smallest, "root")
     named = staged(named.select("fingerprint", "root", "component_id"), "simhash")
+    discard(distinct, tree, smallest)
     return prints.join(named, "fingerprint").select(
         "doc_id",
         F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),

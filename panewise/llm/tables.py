@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import wraps
+from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panewise.session import shared_folder, ship_package
+from panewise.session import remove_folder, shared_folder, ship_package
 
+#: Where the tables lie that are still in use, and those of the scope around, if any.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
-def staged(df: DataFrame, purpose: str) -> DataFrame:
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the folder all executors share and read it back.
 
     What follows reads only the columns it needs, and a lost executor costs no more
@@ -19,7 +26,40 @@ def staged(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+def staged(df: DataFrame, purpose: str) -> DataFrame:
+    """As :func:`written`, for a table that goes with the :func:`scope` around it."""
+    out = written(df, purpose)
+    if (scope_paths := _SCOPE.get()) is not None:
+        scope_paths.append(_PATHS[out])
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables; whatever was made from them must have been written too.
+
+    Tables that :func:`written` did not return, such as inputs, stay.
+    """
+    for df in tables:
+        if (path := _PATHS.pop(df, None)) is not None:
+            remove_folder(df.sparkSession, path)
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving all that is staged inside; what is to stay must be written by then."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        paths = _SCOPE.get()
+        _SCOPE.reset(token)
+        for path in paths:
+            remove_folder(spark, path)
 
 
 def is_finite_vector(column: str):
