@@ -1,8 +1,8 @@
 """From raw documents to packed training sequences, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the
-columns of ``documents``. ``run`` writes every stage as Parquet to the shared folder and
-hands what it reads back to the next one.
+columns of ``documents``. ``run`` writes every stage as Parquet to the shared folder, deletes
+what the stage has read and staged, and hands what it reads back to the next one.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panewise.llm import lines, mixing, packing, quality, simhash
-from panewise.llm.tables import shipped, staged
+from panewise.llm.tables import discard, scope, shipped, staged, written
 from panewise.llm.tokens import default_path
 from panewise.sources.tables import table
 
@@ -97,10 +97,12 @@ STAGES = [(name, shipped(stage)) for name, stage in STAGES]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed pieces of ``documents``."""
+    """The packed pieces of ``documents``; nothing but these stays in the shared folder."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope(spark):
+            before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        discard(before)
     return docs
 
 
