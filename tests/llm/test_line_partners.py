@@ -118,3 +118,42 @@ def test_frequent_lines_follow_their_first_holders(spark):
     texts = [(i, f"own {i}\ncommon\nlast {i}") for i in range(60)]
     got = dropped(spark, texts)
     assert got[0][1] == 0 and all(got[i] == (f"own {i}\nlast {i}", 1) for i in range(1, 60))
+
+
+def common(seed, n=70):
+    """Documents in which a few lines are frequent, in many orders and numbers, and some are rare."""
+    rng = random.Random(seed)
+    texts = []
+    for i in range(n):
+        body = [rng.choice("aaaabbcdef") * 3 for _ in range(rng.randint(1, 6))]
+        body += [f"rare {rng.randrange(n)}" for _ in range(rng.randrange(3))]
+        if rng.random() < 0.6:
+            rng.shuffle(body)
+        if texts and rng.random() < 0.3:
+            body = rng.choice(texts)[1].split("\n") + body[:1]
+        texts.append((i, "\n".join(body)))
+    return texts
+
+
+@pytest.mark.parametrize("holders", [1, 8])
+@pytest.mark.parametrize("make,seed", [(lengths, 3), (common, 6)])
+def test_holders_do_not_change_the_result(spark, monkeypatch, make, seed, holders):
+    """Frequent lines lose no partner: what goes is what any earlier document is aligned with."""
+    monkeypatch.setattr(lines, "HOLDERS", holders)
+    monkeypatch.setattr(lines, "FURTHER", 4)
+    monkeypatch.setattr(lines, "MATCHES_AT_ONCE", 20)
+    texts = make(seed)
+    got, want = dropped(spark, texts), brute(texts)
+    for i, t in texts:
+        kept = [x for k, x in enumerate(t.split("\n")) if k not in want[i]]
+        if want[i] and not any(x.strip() for x in kept):
+            kept = []
+        assert got[i][0].split("\n") == (kept or [""]), i
+
+
+def test_frequent_lines_are_aligned_with_late_holders(spark):
+    """Only the last of many holders has the lines in the same order."""
+    own = [f"line {i}" for i in range(6)]
+    texts = [(i, "\n".join([f"first {i}", *own[::-1]])) for i in range(30)]
+    texts += [(100, "\n".join(own)), (101, "\n".join([*own, "new"]))]
+    assert dropped(spark, texts)[101] == ("new", 6)
