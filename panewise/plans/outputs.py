@@ -23,7 +23,7 @@ from panewise.plans.relational import exact_sum
 from panewise.plans.windows import windowed
 from panewise.session import shared_folder
 from panewise.sources.delimited import declare, declare_stream
-from panewise.sources.slices import replay_by_count, replay_by_time, with_arrival_index
+from panewise.sources.slices import dense_slice, replay_by_count, replay_by_time, with_arrival_index
 from panewise.sources.tables import stream_table, table
 from panewise.streaming.queries import stream_join, stream_window_aggregate, stream_window_join
 from panewise.streaming.sinks import (
@@ -39,6 +39,9 @@ from panewise.streaming.store import keep_windows, windows
 HOUR = 3600
 #: Slices of event time, one micro-batch each, in which the streams get their input.
 SLICES = 6
+#: Micro-batches at most in which a table comes slice by slice of records; with more slices
+#: than that, a micro-batch holds several whole ones.
+RECORD_BATCHES = 64
 SPENT = {"spent": total("value", 2), "high": highest("value"), "n": count("value")}
 
 
@@ -167,12 +170,15 @@ def stream_windows_shared(spark, sf):
 
 
 def stream_count_slices(spark, sf):
-    """A table replayed in slices of 2,500 records; every micro-batch gives its own counts."""
+    """A table replayed in slices of 2,500 records; every micro-batch counts its own slices."""
     path = shared_folder(spark, "records")
-    events = with_arrival_index(table(spark, sf, "events").select("event_id", "value"))
-    files = replay_by_count(events, "arrival", 2500, f"{path}/in/events.parquet")
+    stored = table(spark, sf, "events").select("event_id", "value")
+    together = max(1, -(-stored.count() // (2500 * RECORD_BATCHES)))
+    events = with_arrival_index(stored)
+    files = replay_by_count(events, "arrival", 2500, f"{path}/in/events.parquet", slices_at_once=together)
     stream = stream_table(spark, f"{path}/in", "events", files_per_batch=files)
-    sizes = {"sizes": lambda batch: batch.agg(F.min("arrival").alias("first"), F.count("*").alias("n"))}
+    size = F.min("arrival").alias("first"), F.count("*").alias("n")
+    sizes = {"sizes": lambda batch: batch.groupBy(dense_slice("arrival", 2500)).agg(*size).select("first", "n")}
     several_outputs(stream, sizes, f"{path}/rows", f"{path}/checkpoint")
     return spark.read.parquet(f"{path}/rows/sizes").select("first", "n")
 

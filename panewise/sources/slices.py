@@ -41,14 +41,21 @@ def replay_by_time(
 
 
 def replay_by_count(
-    df: DataFrame, index: str, per_slice: int, path: str, rows_per_file: int = ROWS_PER_FILE
+    df: DataFrame,
+    index: str,
+    per_slice: int,
+    path: str,
+    rows_per_file: int = ROWS_PER_FILE,
+    slices_at_once: int = 1,
 ) -> int:
     """Write a stored input to ``path`` in slices of ``per_slice`` records, in order.
 
-    ``index`` numbers the records 0, 1, 2, …, as :func:`with_arrival_index` does. See
+    ``index`` numbers the records 0, 1, 2, …, as :func:`with_arrival_index` does. A stream
+    gets ``slices_at_once`` whole slices per micro-batch, so that batches need not grow with
+    the slices; :func:`dense_slice` tells the slices of a batch apart. See
     :func:`_write_slices` for what is returned.
     """
-    return _write_slices(df, dense_slice(index, per_slice), path, rows_per_file)
+    return _write_slices(df, dense_slice(index, per_slice * slices_at_once), path, rows_per_file)
 
 
 def _write_slices(df: DataFrame, number: Column, path: str, rows_per_file: int) -> int:

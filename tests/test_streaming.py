@@ -1,6 +1,7 @@
 """Streams over many files, restarts, late rows, and sinks."""
 
 from datetime import datetime, timedelta
+from glob import glob
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -10,9 +11,10 @@ from panewise.functions.aggregates import count, highest, mean, total
 from panewise.functions.event_time import from_instant
 from panewise.operators.window_joins import window_join
 from panewise.operators.windows import window_aggregate
+from panewise.plans import outputs
 from panewise.session import shared_folder
 from panewise.sources.delimited import declare_stream
-from panewise.sources.slices import replay_by_count, replay_by_time
+from panewise.sources.slices import dense_slice, replay_by_count, replay_by_time
 from panewise.sources.tables import stream_table
 from panewise.streaming import sinks
 from panewise.streaming.queries import stream_join, stream_window_aggregate, stream_window_join
@@ -278,6 +280,28 @@ def test_replay_by_count(spark, events):
     )
 
 
+def test_replay_of_several_slices_at_once(spark, events):
+    """Whole slices of records come together, and no slice is cut."""
+    path = shared_folder(spark, "counted") + "/events.parquet"
+    assert replay_by_count(events, "event_id", 100, path, slices_at_once=4) == 1
+    found = spark.read.parquet(path).groupBy(dense_slice("event_id", 100).alias("s"))
+    files = found.agg(F.count_distinct("_metadata.file_path").alias("files"), F.count("*").alias("n"))
+    assert files.where("files > 1").count() == 0 and files.agg(F.sum("n")).first()[0] == events.count()
+    assert len(spark.read.parquet(path).inputFiles()) == -(-events.count() // 400)
+
+
+def test_micro_batches_do_not_grow_with_slices(spark, sf):
+    """With more slices than micro-batches, each slice is still counted on its own."""
+    folder = shared_folder(spark, "many")
+    rows_ = spark.range(0, 2500 * 150 + 7, 1, 1).select(F.col("id").alias("event_id"), F.lit(1.0).alias("value"))
+    rows_.write.parquet(f"{folder}/events.parquet")
+    before = set(glob(spark.conf.get("spark.checkpoint.dir") + "/panewise/records-*"))
+    got = sorted(tuple(r) for r in outputs.stream_count_slices(spark, folder).collect())
+    assert got == [(2500 * i, 2500) for i in range(150)] + [(375_000, 7)]
+    (new,) = set(glob(spark.conf.get("spark.checkpoint.dir") + "/panewise/records-*")) - before
+    assert len(glob(f"{new}/rows/sizes/batch=*")) <= outputs.RECORD_BATCHES
+
+
 def test_hot_left_key_is_spread(spark, folder):
     """Left rows go to left splits, right rows to all of them."""
     clicks, purchases = two_sides(spark, folder)
