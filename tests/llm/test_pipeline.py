@@ -132,3 +132,13 @@ def test_sql(spark, name):
     want = sorted((tuple(r[i] for i in places) for r in relation.fetchall()), key=repr)
     assert sorted(map(tuple, df.select(*columns).collect()), key=repr) == want
     assert want
+
+
+def test_lines_of_late_holders_go(spark):
+    """Line dedup follows every holder of a frequent line; only the last one has them in order."""
+    own = [f"line {i}" for i in range(6)]
+    texts = ["\n".join([f"first {i}", *own[::-1]]) for i in range(20)]
+    texts += ["\n".join(own), "\n".join([*own, "new"])]
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    kept = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert (kept[21].text, kept[21].n_chars) == ("new", 3)
